@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .mixing import op9_mixing
 from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op9_mixing": op9_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op9_mixing": mixing.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:
