@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 from .mixing import op9_mixing
 from .simhash import op2_simhash
+from .warc import op4_warc
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_warc": op4_warc,
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op4_warc": warc.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
 
