@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from . import mixing, warc
 from .mixing import op9_mixing
+from .quality_rules import op7_quality_rules
 from .simhash import op2_simhash
 from .warc import op4_warc
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_warc": op4_warc,
+    "op7_quality_rules": op7_quality_rules,
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {
