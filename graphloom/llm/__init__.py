@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing, warc
 from .mixing import op9_mixing
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .simhash import op2_simhash
 from .warc import op4_warc
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op7_quality_rules": op7_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {
     "op4_warc": warc.ORACLE_SQL,
