@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing, warc
+from .bpe import op6_bpe
 from .mixing import op9_mixing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
@@ -12,6 +13,7 @@ from .warc import op4_warc
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_warc": op4_warc,
+    "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
