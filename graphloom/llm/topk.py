@@ -135,7 +135,7 @@ _HIT = "query_id long, vec_id long, score long"
 
 def _pairs(q: DataFrame, v: DataFrame, groups: int) -> DataFrame:
     """Each query block with each bucket of its dimension. Buckets are dealt to groups and query blocks go to every group, so no join key is hot."""
-    named = lambda df, p: df.select("dim", *[F.col(a).alias(f"{p}_{b}") for a, b in (("block", "block"), ("longest", "long"), ("biggest", "big"), ("ids", "ids"), ("rows", "rows"))])
+    named = lambda df, p: df.select("dim", *[F.col(a).alias(f"{p}_{b}") for a, b in (("block", "block"), ("longest", "long"), ("biggest", "big"), ("ids", "ids"), ("rows", "rows"))], *[c for c in df.columns if c.startswith("b_")])
     q, v = named(q, "q"), named(v, "v").withColumn("g", F.pmod("v_block", F.lit(groups)).cast("int"))
     q = q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     return q.repartition("dim", "g").join(v, ["dim", "g"])
@@ -161,8 +161,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
     low = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "low")
     # bounds travel with their query block: an array a block
     member = q.select("block", "ids").mapInArrow(_members, "q_block long, query_id long")
-    bounds = keep(member.join(low, "query_id", "left").groupBy("q_block").agg(F.collect_list("query_id").alias("b_ids"), F.collect_list(F.coalesce("low", F.lit(-(2**62)))).alias("b_low"), F.min(F.coalesce("low", F.lit(-(2**62)))).alias("b_min")))
-    rest = _pairs(q, v.join(top, "block", "left_anti"), parts).join(bounds, "q_block")
+    bounds = keep(member.join(low, "query_id", "left").groupBy(F.col("q_block").alias("block")).agg(F.collect_list("query_id").alias("b_ids"), F.collect_list(F.coalesce("low", F.lit(-(2**62)))).alias("b_low"), F.min(F.coalesce("low", F.lit(-(2**62)))).alias("b_min")))
+    rest = _pairs(q.join(bounds, "block"), v.join(top, "block", "left_anti"), parts)
     # a whole pair of blocks is dropped if no query of it can reach its bound there
     rest = rest.where("b_min <= 0 or q_long * v_long >= b_min * (1 - 1e-9)")
     more = rest.mapInArrow(_meet(k, True), _HIT)
