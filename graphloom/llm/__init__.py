@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing, substring, topk, warc
 from .bpe import op6_bpe
 from .mixing import op9_mixing
+from .pii import op5_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .simhash import op2_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_topk": op8_topk,
