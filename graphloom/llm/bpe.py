@@ -96,7 +96,6 @@ class Encoder:
         self.selfish: dict[str, bool] = {}
         for t in self.vocab:
             self.longest = max(self.longest, len(t) - (len(self.end) if t.endswith(self.end) and len(t) > len(self.end) else 0))
-        # merges by their right and left texts give the tokens that can end a prefix
 
     def itself(self, token: str) -> bool:
         ok = self.selfish.get(token)
@@ -143,51 +142,74 @@ class Encoder:
         return out
 
     def _ending(self, word: str, stop: int, last: list[str], mark: str, vocab: dict, longest: int) -> str:
-        for start in range(max(0, stop - longest), stop):
+        """The one token that can end the prefix; short ones are likelier, so they are tried first."""
+        pairs = self.pairs
+        for start in range(stop - 1, max(-1, stop - longest - 1), -1):
             t = word[start:stop] + mark
-            if t in vocab and self.itself(t) and (start == 0 or self.pair(last[start], t)):
-                return t
+            if t in vocab:
+                if start:
+                    ok = pairs.get((last[start], t))
+                    if ok is None:
+                        ok = self.itself(t) and self.pair(last[start], t)
+                    if ok:
+                        return t
+                elif self.itself(t):
+                    return t
         raise ValueError(f"no token ends {word[:stop]!r}")
 
-    def split(self, text: str) -> list[str | int]:
-        """Words in byte signs, and ids of special tokens, in order."""
-        out: list[str | int] = []
+    def split(self, text: str) -> list[str]:
+        """Words and special tokens, in order."""
+        out: list[str] = []
         at = 0
         cuts = [(m.start(), m.end()) for m in self.cut.finditer(text)] if self.cut and "<|" in text else []
         for a, b in [*cuts, (len(text), len(text))]:
             part = text[at:a]
             if part:
-                part = _lower(unicodedata.normalize("NFC", part))
-                found = self.words.findall(part)
-                out += found if part.isascii() and part.isprintable() else [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.sign) for w in found]
+                out += self.words.findall(_lower(unicodedata.normalize("NFC", part)))
             if b > a:
-                out.append(self.special[text[a:b]])
+                out.append("\n" + text[a:b])  # no word begins with white space
             at = b
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str | None]) -> list[list[tuple[list[int], str, str]]]:
+        """For each text its words' encodings: ids, the ids and the tokens joined by a space. Each distinct word is encoded once."""
         parts = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > self.remember:
-            self.known = {}
         known = self.known
-        new = {w for p in parts for w in p if type(w) is str and w not in known}
-        known.update(self.encode_words(new))
-        out = []
+        if len(known) > self.remember:
+            known.clear()
+        new: set[str] = set()
         for p in parts:
-            ids: list[int] = []
-            for w in p:
-                if type(w) is str:
-                    ids += known[w]
-                else:
-                    ids.append(w)
-            out.append(ids)
-        return out
+            new.update(p)
+        new.difference_update(known)
+        if new:
+            signed = {w: w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.sign) for w in new if w[0] != "\n"}
+            ids = self.encode_words(set(signed.values()))
+            names = self.names
+            for w, s in signed.items():
+                x = ids[s]
+                known[w] = (x, " ".join(map(str, x)), " ".join([names[i] for i in x]))
+            for w in new.difference(signed):
+                known[w] = ([self.special[w[1:]]], str(self.special[w[1:]]), w[1:])
+        return [[known[w] for w in p] for p in parts]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [[i for e in p for i in e[0]] for p in self.encode_batch(texts)]
 
     def decode(self, ids: list[int]) -> str:
         names = self.names
         return " ".join([names[i] for i in ids])
 
 
+#: One encoder a worker process and file, so what it has learnt about pairs and words serves later tasks as well.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _lower(s: str) -> str:
     """Lower case letter by letter (a final sigma is not special)."""
     return s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
@@ -202,16 +224,20 @@ def _run(docs, path, id_col, text_col, digests):
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(path)
+        from graphloom.llm import bpe  # the module's own cache, not a copy sent with the task
+
+        e = bpe.encoder(path)
         hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                ids = e.encode_batch(part.column(1).to_pylist())
                 if digests:
-                    cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hexed(" ".join(map(str, x))) for x in ids], pa.string()), pa.array([hexed(e.decode(x)) for x in ids], pa.string())]
+                    # the words' parts are joined as they are: the same bytes as joining the tokens one by one
+                    got = e.encode_batch(part.column(1).to_pylist())
+                    cols = [pa.array([sum([len(x[0]) for x in w]) for w in got], pa.int64()), *(pa.array([hexed(" ".join([x[k] for x in w])) for w in got], pa.string()) for k in (1, 2))]
                     yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
+                    ids = e.encode(part.column(1).to_pylist())
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([e.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     bounded_batches(docs.sparkSession)
