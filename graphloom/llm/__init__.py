@@ -10,10 +10,12 @@ from .quality_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .simhash import op2_simhash
 from .substring import op3_substring_dedup
+from .toxicity import op1_toxicity
 from .topk import op8_topk
 from .warc import op4_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
