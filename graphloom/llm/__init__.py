@@ -34,6 +34,15 @@ ORACLES: dict[str, str] = {
 }
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
