@@ -1,10 +1,32 @@
-"""Query catalogue: every registered query with its DuckDB twin."""
+"""Query catalogue: every registered query with its DuckDB twin. Parameters are fixed in the code; results are whole."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from graphloom.functions import ids, scores
+from graphloom.functions.vectors import cosine, nudge
+from graphloom.operators import embed, exchange, graph, learning, resilience, search, store
+from graphloom.sources import fixture as fx
+from graphloom.streaming import access
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+G, T, NV, LOG = fx.EDGES_SQL, fx.TRADE_SQL, fx.NATION_VECTORS_SQL, fx.ACCESS_SQL
+AS_OF = "2024-06-30 00:00:00"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
     return dict(QUERIES)
@@ -12,3 +34,863 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(ORACLES)
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+NID = "substr(sha256({}), 1, 32)"
+TID = "substr(sha256(unhex(substr(sha256(s), 1, 32)) || encode(p) || unhex(substr(sha256(o), 1, 32))), 1, 32)"
+KG = f"""{G}, k AS (SELECT {TID} AS id, substr(sha256(s), 1, 32) AS subject, p AS predicate, substr(sha256(o), 1, 32) AS object, s, p, o, w, ts FROM g)"""
+
+
+def kg(spark, d):
+    return store.triples(fx.edges(spark, d))
+
+
+def named_kg(spark, d):
+    """Triples with values (id, s, p, o, w, ts)."""
+    e = fx.edges(spark, d)
+    a, b = ids.node_id(F.col("s")), ids.node_id(F.col("o"))
+    return e.select(ids.triple_id(a, F.col("p"), b).alias("id"), "s", "p", "o", "w", "ts")
+
+
+# scans, patterns, provenance
+
+
+@query("content_ids", f"WITH {KG} SELECT id, subject, predicate, object, sha256(unhex(id)) AS hash FROM k")
+def content_ids(spark, d):
+    return kg(spark, d).select("id", "subject", "predicate", "object", ids.triple_hash(F.col("id")).alias("hash"))
+
+
+@query("predicate_ids", f"WITH {G} SELECT DISTINCT p, substr(sha256('predicate:' || p), 1, 32) AS id FROM g")
+def predicate_ids(spark, d):
+    return fx.edges(spark, d).select("p", ids.predicate_id(F.col("p")).alias("id")).distinct()
+
+
+def _pattern(name, s, p, o):
+    cond = " AND ".join(f"{c} = '{v}'" for c, v in (("s", s), ("p", p), ("o", o)) if v) or "true"
+
+    @query(name, f"WITH {KG} SELECT id, subject, predicate, object, w AS local_weight FROM k WHERE {cond}")
+    def run(spark, d):
+        i = lambda v: None if v is None else store_id(v)
+        return store.match(kg(spark, d), i(s), p, i(o)).select("id", "subject", "predicate", "object", "local_weight")
+
+
+def store_id(value: str) -> str:
+    import hashlib
+
+    return hashlib.sha256(value.encode()).hexdigest()[:32]
+
+
+_pattern("pattern_s", "customer:7", None, None)
+_pattern("pattern_p", None, "in_nation", None)
+_pattern("pattern_o", None, None, "nation:NATION_3")
+_pattern("pattern_sp", "order:1", "contains", None)
+_pattern("pattern_po", None, "in_nation", "nation:NATION_7")
+_pattern("pattern_so", "nation:NATION_3", None, "region:EUROPE")
+_pattern("pattern_spo", "nation:NATION_3", "in_region", "region:EUROPE")
+_pattern("pattern_all", None, None, None)
+
+
+@query("pattern_by_value", f"WITH {KG} SELECT id, s, p AS predicate, o FROM k WHERE p = 'in_nation' AND o = 'nation:NATION_5'")
+def pattern_by_value(spark, d):
+    t, n = kg(spark, d), store.nodes(fx.edges(spark, d))
+    return store.resolved(store.match_values(t, n, predicate="in_nation", obj="nation:NATION_5"), n).select("id", "s", "predicate", "o")
+
+
+@query("pattern_unknown_value", f"WITH {KG} SELECT id FROM k WHERE o = 'nation:ATLANTIS'")
+def pattern_unknown_value(spark, d):
+    return store.match_values(kg(spark, d), store.nodes(fx.edges(spark, d)), obj="nation:ATLANTIS").select("id")
+
+
+@query("node_by_value", f"WITH {G} SELECT DISTINCT substr(sha256(v), 1, 32) AS id, v AS value FROM (SELECT s AS v FROM g UNION ALL SELECT o FROM g) WHERE v = 'nation:NATION_9'")
+def node_by_value(spark, d):
+    return store.nodes(fx.edges(spark, d)).where(F.col("value") == "nation:NATION_9")
+
+
+@query("node_search", f"WITH {G} SELECT DISTINCT v AS value FROM (SELECT s AS v FROM g UNION ALL SELECT o FROM g) WHERE contains(lower(v), 'an') ORDER BY v LIMIT 20")
+def node_search(spark, d):
+    return store.search_nodes(store.nodes(fx.edges(spark, d)), "AN", 20).select("value")
+
+
+@query("ingest_dedup", "SELECT count(*) AS n, count(DISTINCT id) AS n_ids FROM (SELECT DISTINCT substr(sha256('part:' || l_partkey), 1, 32) AS id FROM lineitem UNION SELECT substr(sha256('supplier:' || l_suppkey), 1, 32) FROM lineitem)")
+def ingest_dedup(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    f = li.select(F.concat(F.lit("supplier:"), F.col("l_suppkey")).alias("s"), F.concat(F.lit("part:"), F.col("l_partkey")).alias("o"))
+    return store.nodes(f).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+def provenance(spark, d):
+    """One source an order for what it contains; kind by priority."""
+    k = named_kg(spark, d).where("p = 'contains'")
+    bridge = k.select(F.concat(F.lit("src-"), F.col("s")).alias("source_id"), F.col("id").alias("triple_id"))
+    o = fx.table(spark, d, "orders")
+    src = o.select(F.concat(F.lit("src-order:"), F.col("o_orderkey")).alias("source_id"), F.when(F.col("o_orderstatus") == "F", "document").otherwise("conversation").alias("source_type"), F.col("o_orderpriority").alias("reference"))
+    return bridge, src
+
+
+SRC = f"{KG}, bridge AS (SELECT 'src-' || s AS source_id, id AS triple_id FROM k WHERE p = 'contains'), src AS (SELECT 'src-order:' || o_orderkey AS source_id, CASE WHEN o_orderstatus = 'F' THEN 'document' ELSE 'conversation' END AS source_type, o_orderpriority AS reference FROM orders)"
+
+
+@query("sources_for_triple", f"WITH {SRC} SELECT k.id, source_type, reference FROM k JOIN bridge ON triple_id = k.id JOIN src USING (source_id) WHERE s = 'order:1'")
+def sources_for_triple(spark, d):
+    bridge, src = provenance(spark, d)
+    t = named_kg(spark, d).where("s = 'order:1'")
+    return store.with_sources(t, bridge, src).select("id", F.explode("sources").alias("x")).select("id", "x.source_type", "x.reference")
+
+
+@query("source_counts", f"WITH {SRC} SELECT k.id, count(source_id) AS n_sources FROM k LEFT JOIN bridge ON triple_id = k.id GROUP BY k.id")
+def source_counts(spark, d):
+    return store.source_counts(named_kg(spark, d), provenance(spark, d)[0])
+
+
+@query("response_projection", f"WITH {SRC} SELECT k.id, s, p AS predicate, o, count(source_id) AS n_sources FROM k LEFT JOIN bridge ON triple_id = k.id WHERE p IN ('contains', 'in_region') GROUP BY ALL")
+def response_projection(spark, d):
+    t, (bridge, src) = kg(spark, d).where(F.col("predicate").isin("contains", "in_region")), provenance(spark, d)
+    r = store.with_sources(store.resolved(t, store.nodes(fx.edges(spark, d))), bridge, src)
+    return r.select("id", "s", "predicate", "o", F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("n_sources")).withColumn("n_sources", F.greatest("n_sources", F.lit(0)))
+
+
+@query("stats", f"WITH {G} SELECT (SELECT count(*) FROM g) AS n_triples, (SELECT round(avg(w), 6) FROM g) AS avg_weight, (SELECT round(sum(w), 4) FROM g) AS total_weight, (SELECT count(DISTINCT v) FROM (SELECT s AS v FROM g UNION ALL SELECT o FROM g)) AS n_nodes")
+def stats(spark, d):
+    return store.stats(kg(spark, d))
+
+
+@query("touch", f"WITH {KG} SELECT id, CASE WHEN s = 'order:1' THEN 1.0 ELSE w END AS local_weight, CAST(s = 'order:1' AS BIGINT) AS access_count FROM k WHERE p = 'contains'")
+def touch(spark, d):
+    t = kg(spark, d).where("predicate = 'contains'")
+    hit = named_kg(spark, d).where("s = 'order:1' and p = 'contains'")
+    return store.touch(t, hit, as_of()).select("id", "local_weight", "access_count")
+
+
+@query("delete", f"WITH {KG} SELECT id FROM k WHERE p = 'in_nation' AND o <> 'nation:NATION_11'")
+def delete(spark, d):
+    t = named_kg(spark, d).where("p = 'in_nation'")
+    return store.delete(t, provenance(spark, d)[0], t.where("o = 'nation:NATION_11'").select("id"))[0].select("id")
+
+
+@query("upsert_replace", f"WITH {KG} SELECT id, CASE WHEN o = 'nation:NATION_11' THEN 0.5 ELSE w END AS w FROM k WHERE p = 'in_nation'")
+def upsert_replace(spark, d):
+    t = named_kg(spark, d).where("p = 'in_nation'").select("id", "o", "w")
+    return store.upsert(t, t.where("o = 'nation:NATION_11'").withColumn("w", F.lit(0.5))).select("id", "w")
+
+
+@query("upsert_keep", f"WITH {KG} SELECT id, w FROM k WHERE p = 'in_nation'")
+def upsert_keep(spark, d):
+    t = named_kg(spark, d).where("p = 'in_nation'").select("id", "o", "w")
+    return store.upsert(t, t.where("o = 'nation:NATION_11'").withColumn("w", F.lit(0.5)), on_conflict="keep").select("id", "w")
+
+
+@query("supersede", f"WITH {KG}, p2 AS (SELECT s, max(id) AS new_id, min(id) AS old_id FROM k WHERE p = 'contains' GROUP BY s HAVING count(*) > 1) SELECT k.id, CASE WHEN k.id IN (SELECT old_id FROM p2) THEN w * 0.1 ELSE w END AS local_weight FROM k WHERE p = 'contains'")
+def supersede(spark, d):
+    n = named_kg(spark, d).where("p = 'contains'")
+    pairs = n.groupBy("s").agg(F.max("id").alias("new_id"), F.min("id").alias("old_id"), F.count("*").alias("n")).where("n > 1").select("new_id", "old_id", F.lit("newer").alias("reason"))
+    return store.supersede(kg(spark, d).where("predicate = 'contains'"), pairs)[0].select("id", "local_weight")
+
+
+@query("supersede_facts", f"WITH {KG}, p2 AS (SELECT s, max(id) AS new_id, min(id) AS old_id FROM k WHERE p = 'contains' GROUP BY s HAVING count(*) > 1) SELECT new_id AS s, 'supersedes' AS p, old_id AS o FROM p2 UNION ALL SELECT new_id, 'supersede_reason', 'newer' FROM p2")
+def supersede_facts(spark, d):
+    n = named_kg(spark, d).where("p = 'contains'")
+    pairs = n.groupBy("s").agg(F.max("id").alias("new_id"), F.min("id").alias("old_id"), F.count("*").alias("n")).where("n > 1").select("new_id", "old_id", F.lit("newer").alias("reason"))
+    return store.supersede(kg(spark, d), pairs)[1]
+
+
+@query("share_create", f"WITH {KG} SELECT id AS s, 'shareable_with' AS p, 'did:peer' AS o FROM k WHERE p = 'in_region'")
+def share_create(spark, d):
+    return store.share(named_kg(spark, d).where("p = 'in_region'"), "did:peer")
+
+
+@query("share_revoke", f"WITH {KG} SELECT id, CASE WHEN o = 'region:ASIA' THEN 0.0 ELSE w END AS local_weight FROM k WHERE p = 'in_region'")
+def share_revoke(spark, d):
+    n = named_kg(spark, d).where("p = 'in_region'")
+    return store.revoke(kg(spark, d).where("predicate = 'in_region'"), n.where("o = 'region:ASIA'"), AS_OF)[0].select("id", "local_weight")
+
+
+@query("verifications", f"WITH {KG} SELECT 'ann' AS verifier, id AS triple_id, CASE WHEN o = 'region:ASIA' THEN 'contradicted' ELSE 'confirmed' END AS result, CASE WHEN o = 'region:ASIA' THEN 'seen otherwise' END AS reasoning FROM k WHERE p = 'in_region'")
+def verifications(spark, d):
+    n = named_kg(spark, d).where("p = 'in_region'")
+    f = store.verify(n.where("o <> 'region:ASIA'"), "ann", "confirmed").unionByName(store.verify(n.where("o = 'region:ASIA'"), "ann", "contradicted", "seen otherwise"))
+    return store.verifications(f)
+
+
+TENSE = f"{KG}, x AS (SELECT a.subject, a.predicate, a.id AS a_id, b.id AS b_id, 'medium' AS severity FROM k a JOIN k b ON a.subject = b.subject AND a.predicate = b.predicate AND a.id < b.id AND a.object <> b.object WHERE a.p = 'contains' AND a.w > 0 AND b.w > 0)"
+
+
+@query("tensions", f"WITH {TENSE} SELECT * FROM x")
+def tensions(spark, d):
+    return store.tensions(kg(spark, d).where("predicate = 'contains'"))
+
+
+@query("tension_resolve", f"WITH {TENSE} SELECT id, CASE WHEN id IN (SELECT b_id FROM x) THEN w * 0.1 ELSE w END AS local_weight FROM k WHERE p = 'contains'")
+def tension_resolve(spark, d):
+    t = kg(spark, d).where("predicate = 'contains'")
+    return store.resolve_tensions(t, store.tensions(t), "keep_a").select("id", "local_weight")
+
+
+# tiers
+
+
+def tiers(spark, d):
+    n = named_kg(spark, d).where("p = 'placed_by'").withColumn("access_count", F.pmod(F.regexp_extract("s", "([0-9]+)", 1).cast("long"), F.lit(7))).withColumnRenamed("ts", "last_accessed")
+    return n.where("access_count >= 5"), n
+
+
+TIER = f"{KG}, cold AS (SELECT *, CAST(regexp_extract(s, '([0-9]+)', 1) AS BIGINT) % 7 AS access_count FROM k WHERE p = 'placed_by'), hot AS (SELECT * FROM cold WHERE access_count >= 5)"
+
+
+@query("tiered_read", f"WITH {TIER} SELECT id, CASE WHEN access_count >= 5 THEN 2.0 ELSE w END AS w FROM cold")
+def tiered_read(spark, d):
+    hot, cold = tiers(spark, d)
+    return store.read_tiers(hot.withColumn("w", F.lit(2.0)), cold).select("id", "w")
+
+
+@query("promote", f"WITH {TIER} SELECT id FROM cold WHERE access_count >= 3 AND access_count < 5")
+def promote(spark, d):
+    hot, cold = tiers(spark, d)
+    return store.promotable(cold, hot).select("id")
+
+
+@query("lru_demote", f"WITH {TIER} SELECT id FROM hot ORDER BY ts, id LIMIT (SELECT greatest(0, count(*) - 100) FROM hot)")
+def lru_demote(spark, d):
+    return store.over_capacity(tiers(spark, d)[0], 100).select("id")
+
+
+@query("idle_demote", f"WITH {TIER} SELECT id FROM hot WHERE ts < TIMESTAMP '1996-01-01' - INTERVAL 24 HOUR")
+def idle_demote(spark, d):
+    return store.idle(tiers(spark, d)[0], F.lit("1996-01-01").cast("timestamp_ntz"), 24).select("id")
+
+
+# graph
+
+
+def _bfs_sql(start, depth, name="b"):
+    return f"""sym AS (SELECT src AS a, dst AS b FROM t UNION SELECT dst, src FROM t),
+r AS (SELECT '{start}' AS node, 0 AS dist UNION SELECT sym.b, r.dist + 1 FROM r JOIN sym ON r.node = sym.a WHERE r.dist < {depth}),
+{name} AS (SELECT node, CAST(min(dist) AS INTEGER) AS dist FROM r GROUP BY node)"""
+
+
+START = "NATION_3"
+
+
+def _start(spark):
+    return spark.sql("SELECT 1").select(F.lit(START).alias("node"))
+
+
+@query("bfs_distances", f"WITH RECURSIVE {T}, {_bfs_sql(START, 3)} SELECT node, dist FROM b")
+def bfs_distances(spark, d):
+    return graph.bfs(fx.trade(spark, d), _start(spark), 3)
+
+
+for _k in (1, 2):
+
+    @query(f"neighbors_k{_k}", f"WITH RECURSIVE {T}, {_bfs_sql(START, _k - 1)} SELECT src, dst FROM t WHERE src IN (SELECT node FROM b) OR dst IN (SELECT node FROM b)")
+    def neighbors(spark, d, k=_k):
+        return graph.neighbours(fx.trade(spark, d), START, k).select("src", "dst")
+
+
+@query("bfs_facts", f"WITH RECURSIVE {G}, t AS (SELECT s AS src, o AS dst FROM g), {_bfs_sql('customer:1', 2)} SELECT node, dist FROM b")
+def bfs_facts(spark, d):
+    e = fx.edges(spark, d).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    return graph.bfs(e, spark.sql("SELECT 'customer:1' AS node"), 2)
+
+
+@query("degrees", f"WITH {T} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) + sum(i) AS BIGINT) AS degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM t UNION ALL SELECT dst, 0, 1 FROM t) GROUP BY node")
+def degrees(spark, d):
+    return graph.degrees(fx.trade(spark, d))
+
+
+@query("subgraph_nodes", f"WITH RECURSIVE {T}, {_bfs_sql(START, 1)}, e AS (SELECT * FROM t WHERE src IN (SELECT node FROM b) OR dst IN (SELECT node FROM b)) SELECT (SELECT count(*) FROM e) AS n_edges, (SELECT count(DISTINCT v) FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e)) AS n_nodes")
+def subgraph_nodes(spark, d):
+    e = graph.neighbours(fx.trade(spark, d), START, 2)
+    return e.select(F.explode(F.array("src", "dst")).alias("v"), F.col("src"), F.col("dst")).agg(F.count_distinct("src", "dst").alias("n_edges"), F.count_distinct("v").alias("n_nodes"))
+
+
+def _pr_sql(iterations, damping=0.85, edges="t"):
+    out = f"pn AS (SELECT DISTINCT node FROM (SELECT src AS node FROM {edges} UNION ALL SELECT dst FROM {edges})), pc AS (SELECT count(*)::DOUBLE AS c FROM pn), po AS (SELECT src, count(*)::DOUBLE AS k FROM {edges} GROUP BY src), r0 AS (SELECT node, 1.0 / c AS r FROM pn, pc)"
+    for i in range(iterations):
+        out += f", r{i + 1} AS MATERIALIZED (SELECT pn.node, (1 - {damping}) / c + {damping} * coalesce(f, 0) AS r FROM pc, pn LEFT JOIN (SELECT e.dst AS node, sum(r / k) AS f FROM {edges} e JOIN po ON e.src = po.src JOIN r{i} ON r{i}.node = e.src GROUP BY e.dst) x ON x.node = pn.node)"
+    return out
+
+
+@query("pagerank", f"WITH {T}, {_pr_sql(20)} SELECT node, round(r, 6) AS rank FROM r20")
+def pagerank(spark, d):
+    return graph.pagerank(fx.trade(spark, d)).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query("pagerank_facts", f"WITH {G}, t AS (SELECT s AS src, o AS dst FROM g), {_pr_sql(6)} SELECT node, round(r, 9) AS rank FROM r6")
+def pagerank_facts(spark, d):
+    e = fx.edges(spark, d).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    return graph.pagerank(e, iterations=6).select("node", F.round("rank", 9).alias("rank"))
+
+
+REACH = f"{T}, nn AS (SELECT src AS v FROM t UNION SELECT dst FROM t), reach AS (SELECT v AS a, v AS b FROM nn UNION SELECT reach.a, t.dst FROM reach JOIN t ON reach.b = t.src)"
+
+
+@query("scc", f"WITH RECURSIVE {REACH} SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def scc(spark, d):
+    return graph.scc(fx.trade(spark, d))
+
+
+@query("reachability", f"WITH RECURSIVE {REACH} SELECT a, b FROM reach")
+def reachability(spark, d):
+    return graph.reachability(fx.trade(spark, d))
+
+
+@query("wcc", f"WITH RECURSIVE {T}, nn AS (SELECT src AS v FROM t UNION SELECT dst FROM t), s2 AS (SELECT src AS a, dst AS b FROM t UNION SELECT dst, src FROM t), reach AS (SELECT v AS a, v AS b FROM nn UNION SELECT reach.a, s2.b FROM reach JOIN s2 ON reach.b = s2.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a")
+def wcc(spark, d):
+    return graph.wcc(fx.trade(spark, d))
+
+
+@query("shortest_path", f"WITH RECURSIVE {T}, p AS (SELECT '{START}' AS node, 0 AS hops, ['{START}'] AS path WHERE EXISTS (SELECT 1 FROM t WHERE src = '{START}' OR dst = '{START}') UNION ALL SELECT t.dst, hops + 1, list_append(path, t.dst) FROM p JOIN t ON p.node = t.src WHERE NOT list_contains(path, t.dst) AND hops < 7) SELECT node, CAST(min(hops) AS INTEGER) AS hops, array_to_string(arg_min(path, (hops, path)), '>') AS path FROM p GROUP BY node")
+def shortest_path(spark, d):
+    return graph.shortest_paths(fx.trade(spark, d), START, most=7).select("node", "hops", F.array_join("path", ">").alias("path"))
+
+
+PATHS = f"p AS (SELECT '{START}' AS node, ['{START}'] AS path, 0 AS hops UNION ALL SELECT t.dst, list_append(path, t.dst), p.hops + 1 FROM p JOIN t ON p.node = t.src WHERE NOT list_contains(path, t.dst) AND p.hops < {{}}), pc5 AS (SELECT node, count(*) AS paths FROM p GROUP BY node)"
+
+
+@query("path_counts", f"WITH RECURSIVE {T}, {PATHS.format(4)} SELECT node, paths FROM pc5")
+def path_counts(spark, d):
+    return graph.path_counts(fx.trade(spark, d), START, 4)
+
+
+@query("betweenness", f"""WITH RECURSIVE {T}, e AS (SELECT DISTINCT src, dst FROM t WHERE src <> dst), nn AS (SELECT src AS v FROM t UNION SELECT dst FROM t),
+walk AS (SELECT v AS s, v AS x, 0 AS d FROM nn UNION SELECT w.s, e.dst, w.d + 1 FROM walk w JOIN e ON w.x = e.src WHERE w.d < 24),
+dist AS (SELECT s, x, min(d) AS d FROM walk GROUP BY s, x),
+sig AS (SELECT v AS s, v AS x, 0 AS d, 1::DOUBLE AS c FROM nn UNION ALL SELECT s, dst, d1, sum(c) FROM (SELECT q.s, e.dst, q.d + 1 AS d1, q.c FROM sig q JOIN e ON q.x = e.src JOIN dist z ON z.s = q.s AND z.x = e.dst AND z.d = q.d + 1) GROUP BY s, dst, d1),
+n AS (SELECT count(*)::DOUBLE AS c FROM nn),
+part AS (SELECT a.x AS v, sum(a.c * b.c / st.c) AS b FROM sig st JOIN sig a ON a.s = st.s JOIN sig b ON b.s = a.x AND b.x = st.x WHERE a.d + b.d = st.d AND a.x <> st.s AND a.x <> st.x AND st.s <> st.x GROUP BY a.x)
+SELECT nn.v AS node, round(coalesce(part.b, 0) / CASE WHEN n.c > 2 THEN (n.c - 1) * (n.c - 2) ELSE 1 END, 6) AS score FROM nn CROSS JOIN n LEFT JOIN part ON part.v = nn.v""")
+def betweenness(spark, d):
+    return graph.betweenness(fx.trade(spark, d)).select("node", F.round("score", 6).alias("score"))
+
+
+# vectors
+
+
+@query("knn_exact", "SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, id LIMIT 20")
+def knn_exact(spark, d):
+    v = fx.vectors(spark, d)
+    return search.knn(v, search.query_vector(v, "id", 0), 20).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+THREE = "lf AS (SELECT vec_id AS id, st.i AS i, st.name AS strategy, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (st.i + 1) + st.i) AS vec FROM embeddings CROSS JOIN (VALUES (0, 'spring'), (1, 'node2vec'), (2, 'spectral')) st(i, name) WHERE vec_id % 3 <> st.i)"
+
+
+@query("knn_per_strategy", f"WITH {THREE}, c AS (SELECT a.strategy, a.id, round(list_cosine_similarity(a.vec, q.vec), 6) AS similarity FROM lf a JOIN lf q ON q.strategy = a.strategy AND q.id = 1) SELECT strategy, id, similarity, CAST(row_number() OVER (PARTITION BY strategy ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM c QUALIFY rank <= 5")
+def knn_per_strategy(spark, d):
+    return embed.nearest_by_strategy(embed.long_form(fx.vectors(spark, d)), "id", 1, 5)
+
+
+@query("blend", f"WITH {THREE}, c AS (SELECT a.id, CASE a.strategy WHEN 'spring' THEN 0.34 ELSE 0.33 END AS w, list_cosine_similarity(a.vec, q.vec) AS s FROM lf a JOIN lf q ON q.strategy = a.strategy AND q.id = 1) SELECT e.vec_id AS id, round(coalesce(sum(w * s) / sum(w), 0), 6) AS blend FROM embeddings e LEFT JOIN c ON c.id = e.vec_id GROUP BY e.vec_id")
+def blend(spark, d):
+    lf = embed.long_form(fx.vectors(spark, d))
+    q = F.broadcast(lf.where("id = 1").select("strategy", F.col("vec").alias("q")))  # three rows at most
+    per = lf.join(q, "strategy").groupBy("id").pivot("strategy", ["spring", "node2vec", "spectral"]).agg(F.first(cosine(F.col("vec"), F.col("q"))))
+    rows = fx.vectors(spark, d).select("id").join(per, "id", "left")
+    return rows.select("id", F.round(scores.blend(scores.BLENDS["balanced"], F.col("spring"), F.col("node2vec"), F.col("spectral")), 6).alias("blend"))
+
+
+@query("spring_step", "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT a.id AS src, b.id AS dst, list_zip(a.v, b.v) AS z FROM e a JOIN e b ON b.id = a.id + 1) SELECT src, dst, round(list_sum(list_transform(z, lambda q: q[1] + 0.1 * (q[2] - q[1]))), 6) AS src_sum, round(list_sum(list_transform(z, lambda q: q[2] - 0.1 * (q[2] - q[1]))), 6) AS dst_sum FROM x")
+def spring_step(spark, d):
+    v = fx.vectors(spark, d)
+    a, b = v.select(F.col("id").alias("src"), F.col("vec").alias("va")), v.select(F.col("id").alias("dst"), F.col("vec").alias("vb"))
+    na, nb = nudge(F.col("va"), F.col("vb"), 0.1, F.lit(1.0))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6)
+    return a.join(b, F.col("dst") == F.col("src") + 1).select("src", "dst", total(na).alias("src_sum"), total(nb).alias("dst_sum"))
+
+
+@query("ann_lsh")
+def ann_lsh(spark, d):
+    v = fx.vectors(spark, d)
+    return embed.ann(v, search.query_vector(v, "id", 0), 10).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("spectral")
+def spectral(spark, d):
+    return embed.spectral(fx.trade(spark, d), 8)
+
+
+@query("spectral_distributed")
+def spectral_distributed(spark, d):
+    return embed.spectral(fx.trade(spark, d), 4, dense=0, rounds=12)
+
+
+@query("node2vec_walks")
+def node2vec_walks(spark, d):
+    return embed.walks(fx.trade(spark, d), 4, 8, 1.0, 2.0).select("walk", F.array_join("path", ">").alias("path"))
+
+
+@query("node2vec")
+def node2vec(spark, d):
+    return embed.node2vec(fx.trade(spark, d), 16)
+
+
+# scores
+
+
+def trade_facts(spark, d):
+    """(id, src, dst, weight, n_sources): trade edges as facts; support by order lines."""
+    t = fx.trade(spark, d)
+    return t.select(F.concat("src", F.lit(">"), "dst").alias("id"), "src", "dst", F.round(F.col("n") / (F.col("n") + 10), 6).alias("weight"), F.pmod("n", F.lit(13)).alias("n_sources"))
+
+
+FACTS = f"{T}, f AS (SELECT src || '>' || dst AS id, src, dst, round(n / (n + 10)::DOUBLE, 6) AS weight, n % 13 AS n_sources FROM t)"
+CONF = f"{_pr_sql(20)}, dg AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM t UNION ALL SELECT dst FROM t) GROUP BY node), cf AS (SELECT f.*, least(n_sources, 10) / 10.0::DOUBLE AS reliability, least(a.k + b.k, 20) / 20.0::DOUBLE AS diversity, (x.r + y.r) / 2 AS centrality FROM f JOIN dg a ON a.node = f.src JOIN dg b ON b.node = f.dst JOIN r20 x ON x.node = f.src JOIN r20 y ON y.node = f.dst), cc AS (SELECT *, 0.5 * reliability + 0.3 * diversity + 0.2 * centrality AS confidence FROM cf)"
+
+
+def conf_rows(spark, d, context=None):
+    f = trade_facts(spark, d)
+    return search.confidence(fx.trade(spark, d), f.select("id", "src", "dst"), f, context)
+
+
+@query("confidence_nocontext", f"WITH {FACTS}, {CONF} SELECT id, round(reliability, 6) AS reliability, round(diversity, 6) AS diversity, round(centrality, 6) AS centrality, round(confidence, 6) AS confidence, n_sources FROM cc")
+def confidence_nocontext(spark, d):
+    r = lambda c: F.round(c, 6).alias(c)
+    return conf_rows(spark, d).select("id", r("reliability"), r("diversity"), r("centrality"), r("confidence"), "n_sources")
+
+
+@query("confidence_context", f"WITH RECURSIVE {FACTS}, {_pr_sql(20)}, {PATHS.format(5)} SELECT id, round(0.5 * least(n_sources, 10) / 10.0 + 0.3 * least(coalesce(a.paths, 0) + coalesce(b.paths, 0), 10) / 10.0 + 0.2 * (x.r + y.r) / 2, 6) AS confidence FROM f LEFT JOIN pc5 a ON a.node = f.src LEFT JOIN pc5 b ON b.node = f.dst JOIN r20 x ON x.node = f.src JOIN r20 y ON y.node = f.dst")
+def confidence_context(spark, d):
+    return conf_rows(spark, d, START).select("id", F.round("confidence", 6).alias("confidence"))
+
+
+SIG = "sg AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_discount * 20 - 1 AS similarity, l_tax * 10 AS confidence, l_shipdate AS last_accessed, CAST(l_quantity AS INTEGER) % 12 AS distance, l_linenumber AS n_sources FROM lineitem)"
+
+
+def signals(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    return li.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), (F.col("l_discount") * 20 - 1).alias("similarity"), (F.col("l_tax") * 10).alias("confidence"), F.col("l_shipdate").alias("last_accessed"), F.pmod(F.col("l_quantity").cast("int"), F.lit(12)).alias("distance"), F.col("l_linenumber").alias("n_sources"))
+
+
+for _name, _w in scores.FUSION.items():
+
+    @query(f"fusion_{_name}", f"WITH {SIG} SELECT id, round({_w.similarity} * greatest(0, least(1, (similarity + 1) / 2)) + {_w.confidence} * confidence + {_w.recency} * pow(2.0, -greatest(0, floor((epoch(TIMESTAMP '1999-01-01') - epoch(last_accessed)) / 86400)) / 30.0) + {_w.distance} * CASE WHEN distance = 0 THEN 1.0 WHEN distance >= 10 THEN 0.0 ELSE 1 - distance / 10.0 END + {_w.sources} * least(n_sources, 10) / 10.0, 9) AS score FROM sg")
+    def fusion(spark, d, preset=_name):
+        return search.fuse(signals(spark, d), preset, F.lit("1999-01-01").cast("timestamp_ntz")).select("id", "score")
+
+
+@query("fusion_rank", f"WITH {SIG}, x AS (SELECT id, round(0.35 * greatest(0, least(1, (similarity + 1) / 2)) + 0.25 * confidence + 0.2 * pow(2.0, -greatest(0, floor((epoch(TIMESTAMP '1999-01-01') - epoch(last_accessed)) / 86400)) / 30.0) + 0.1 * CASE WHEN distance = 0 THEN 1.0 WHEN distance >= 10 THEN 0.0 ELSE 1 - distance / 10.0 END + 0.1 * least(n_sources, 10) / 10.0, 9) AS score FROM sg) SELECT id, score FROM x ORDER BY score DESC, id LIMIT 50")
+def fusion_rank(spark, d):
+    return search.top(search.fuse(signals(spark, d), "default", F.lit("1999-01-01").cast("timestamp_ntz")).select("id", "score"), 50, "score", "id")
+
+
+COMB = f"{T}, {NV}, {_bfs_sql(START, 2)}, q AS (SELECT vec FROM nv WHERE node = 'NATION_5')"
+
+
+@query("combined_query", f"WITH RECURSIVE {COMB} SELECT b.node, dist AS distance, round(greatest(0, least(1, (coalesce(list_cosine_similarity(nv.vec, q.vec), 0) + 1) / 2)), 6) AS likeness, round(greatest(0, least(1, (coalesce(list_cosine_similarity(nv.vec, q.vec), 0) + 1) / 2)) / (1 + dist), 6) AS score FROM b CROSS JOIN q LEFT JOIN nv ON nv.node = b.node ORDER BY score DESC, b.node LIMIT 10")
+def combined_query(spark, d):
+    return search.combined(fx.trade(spark, d), fx.nation_vectors(spark, d), START, "NATION_5", 2, 10)
+
+
+@query("combined_presets", f"WITH RECURSIVE {COMB}, l3 AS (SELECT n.node, st.name AS strategy, st.w AS w, list_transform(n.vec, lambda x: x * (st.i + 1) + st.i) AS vec FROM nv n CROSS JOIN (VALUES (0, 'spring', 0.2), (1, 'node2vec', 0.3), (2, 'spectral', 0.5)) st(i, name, w)), c AS (SELECT a.node, sum(a.w * list_cosine_similarity(a.vec, z.vec)) / sum(a.w) AS bl FROM l3 a JOIN l3 z ON z.strategy = a.strategy AND z.node = 'NATION_5' GROUP BY a.node) SELECT b.node, dist AS distance, round(greatest(0, least(1, (coalesce(bl, 0) + 1) / 2)), 6) AS likeness, round(greatest(0, least(1, (coalesce(bl, 0) + 1) / 2)) / (1 + dist), 6) AS score FROM b LEFT JOIN c ON c.node = b.node ORDER BY score DESC, b.node LIMIT 10")
+def combined_presets(spark, d):
+    nv = fx.nation_vectors(spark, d)
+    names = F.array(*[F.lit(s) for s in ("spring", "node2vec", "spectral")])
+    lf = nv.select("node", "vec", F.posexplode(names).alias("i", "strategy")).select("node", "strategy", F.transform("vec", lambda x: x * (F.col("i") + 1) + F.col("i")).alias("vec"))
+    return search.combined(fx.trade(spark, d), lf, START, "NATION_5", 2, 10, scores.BLENDS["exploratory"])
+
+
+@query("trust_report", f"WITH {T}, {_pr_sql(50)} SELECT t.src AS who, round(a.r, 6) AS own, t.dst AS trusts, round(b.r, 6) AS score FROM t JOIN r50 a ON a.node = t.src JOIN r50 b ON b.node = t.dst WHERE t.src = '{START}'")
+def trust_report(spark, d):
+    t = fx.trade(spark, d)
+    r = graph.pagerank(t, iterations=50)
+    return t.where(F.col("src") == START).join(r.toDF("src", "own"), "src").join(r.toDF("dst", "score"), "dst").select(F.col("src").alias("who"), F.round("own", 6).alias("own"), F.col("dst").alias("trusts"), F.round("score", 6).alias("score"))
+
+
+# retrieval
+
+
+NN = "SELECT nv.node, round(list_cosine_similarity(nv.vec, q.vec), 6) AS similarity FROM nv CROSS JOIN (SELECT vec FROM nv WHERE node = 'NATION_3') q"
+
+
+@query("search", f"WITH {NV} {NN} ORDER BY similarity DESC, node LIMIT 8")
+def search_nodes(spark, d):
+    return search.search(fx.trade(spark, d), fx.nation_vectors(spark, d), START, 8)
+
+
+@query("search_cold", f"WITH RECURSIVE {T}, {_bfs_sql(START, 2)} SELECT node, 0.0::DOUBLE AS similarity FROM b ORDER BY dist, node LIMIT 12")
+def search_cold(spark, d):
+    return search.cold_search(fx.trade(spark, d), START, 12)
+
+
+T1 = f"{NV}, t1 AS (SELECT node, list_cosine_similarity(nv.vec, q.vec) AS similarity FROM nv CROSS JOIN (SELECT vec FROM nv WHERE node = 'NATION_3') q ORDER BY similarity DESC, node LIMIT 6)"
+T2 = f"""{T}, {T1}, head AS (SELECT node, similarity FROM t1 ORDER BY similarity DESC, node LIMIT 5), h1 AS (SELECT vec FROM nv WHERE node = (SELECT node FROM head ORDER BY similarity DESC, node LIMIT 1)),
+near AS (SELECT node FROM head UNION SELECT dst FROM t JOIN head ON src = node UNION SELECT src FROM t JOIN head ON dst = node),
+t2 AS (SELECT node, similarity FROM t1 UNION ALL SELECT near.node, coalesce(list_cosine_similarity(nv.vec, h1.vec), 0) FROM near CROSS JOIN h1 LEFT JOIN nv ON nv.node = near.node WHERE near.node NOT IN (SELECT node FROM t1))"""
+
+
+def _tier1(spark, d):
+    return search.tier_one(fx.nation_vectors(spark, d), START, 6)
+
+
+@query("tier1", f"WITH {T1} SELECT node, round(similarity, 6) AS similarity FROM t1")
+def tier1(spark, d):
+    return _tier1(spark, d).select("node", F.round("similarity", 6).alias("similarity"))
+
+
+@query("tier2", f"WITH {T2} SELECT node, round(similarity, 6) AS similarity FROM t2")
+def tier2(spark, d):
+    return search.tier_two(fx.trade(spark, d), fx.nation_vectors(spark, d), _tier1(spark, d), 1).select("node", F.round("similarity", 6).alias("similarity"))
+
+
+@query("tier3", f"WITH {T2}, f AS (SELECT src || '>' || dst AS id, src, dst, n % 13 AS n_sources FROM t), {CONF}, one AS (SELECT src, arg_min(confidence, id) AS confidence FROM cc GROUP BY src) SELECT t2.node, round(0.5 * similarity + 0.5 * coalesce(one.confidence, 0), 6) AS score FROM t2 LEFT JOIN one ON one.src = t2.node")
+def tier3(spark, d):
+    second = search.tier_two(fx.trade(spark, d), fx.nation_vectors(spark, d), _tier1(spark, d), 1)
+    return search.tier_three(second, conf_rows(spark, d)).select("node", F.round("score", 6).alias("score"))
+
+
+@query("tiered_search")
+def tiered_search(spark, d):
+    out, _ = search.tiered(fx.trade(spark, d), fx.nation_vectors(spark, d), lambda c: conf_rows(spark, d, c), START, 8, search.Budget(10_000))
+    return out.select("node", F.round("similarity", 6).alias("similarity"))
+
+
+@query("explore")
+def explore(spark, d):
+    first = _tier1(spark, d).select("node", F.round("similarity", 6).alias("similarity"))
+    return search.explore(first, trade_facts(spark, d))
+
+
+WSG = f"{FACTS}, {_bfs_sql(START, 1)}, ar AS (SELECT * FROM f WHERE src IN (SELECT node FROM b) OR dst IN (SELECT node FROM b)), ws AS (SELECT node, max(weight) AS confidence, count(*) AS times FROM (SELECT src AS node, weight FROM ar UNION ALL SELECT dst, weight FROM ar) GROUP BY node), av AS (SELECT node, confidence, times, exp(-600.0 / 1800.0) AS recency, 0.5 * confidence + 0.3 * exp(-600.0 / 1800.0) + 0.2 * ln(1 + times) / ln(11.0) AS activation FROM ws)"
+
+
+def active(spark, d):
+    return search.activated(search.graph_working_set(trade_facts(spark, d), START, 2), F.lit(600.0), 1800.0)
+
+
+@query("working_set_graph", f"WITH RECURSIVE {WSG} SELECT node, confidence, times, round(activation, 6) AS activation FROM av")
+def working_set_graph(spark, d):
+    return active(spark, d).select("node", "confidence", "times", F.round("activation", 6).alias("activation"))
+
+
+@query("working_set_query")
+def working_set_query(spark, d):
+    f = trade_facts(spark, d)
+    return search.working_set(fx.trade(spark, d), fx.nation_vectors(spark, d), f, START).select("node", F.round("confidence", 6).alias("confidence"), "times")
+
+
+CTX = f"{WSG}, {NV}, q AS (SELECT vec FROM nv WHERE node = '{START}'), sc AS (SELECT f.id, f.src, f.dst, greatest(coalesce(x.activation, 0), coalesce(y.activation, 0)) AS act, (coalesce(list_cosine_similarity(a.vec, q.vec), 0) + coalesce(list_cosine_similarity(c.vec, q.vec), 0)) / greatest(1, (a.vec IS NOT NULL)::INT + (c.vec IS NOT NULL)::INT) AS m, x.node AS xn, y.node AS yn FROM f CROSS JOIN q LEFT JOIN nv a ON a.node = f.src LEFT JOIN nv c ON c.node = f.dst LEFT JOIN av x ON x.node = f.src LEFT JOIN av y ON y.node = f.dst)"
+
+
+@query("context_triples", f"WITH RECURSIVE {CTX} SELECT id, src, dst, round(m * act, 6) AS score FROM sc ORDER BY score DESC, id LIMIT 15")
+def context_triples(spark, d):
+    return search.context_facts(trade_facts(spark, d), fx.nation_vectors(spark, d), active(spark, d), START, 15)
+
+
+@query("context_triples_cold", f"WITH RECURSIVE {CTX} SELECT id, src, dst, round(CASE WHEN src = '{START}' OR dst = '{START}' THEN 1.0 WHEN xn IS NOT NULL OR yn IS NOT NULL THEN 0.5 ELSE 0.25 END * act, 6) AS score FROM sc ORDER BY score DESC, id LIMIT 15")
+def context_triples_cold(spark, d):
+    v = fx.nation_vectors(spark, d).where(F.col("node") != START)
+    return search.context_facts(trade_facts(spark, d), v, active(spark, d), START, 15)
+
+
+@query("context_nodes", f"WITH RECURSIVE {CTX}, ch AS (SELECT id, src, dst, round(m * act, 6) AS score FROM sc ORDER BY score DESC, id LIMIT 15), dn AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ch UNION ALL SELECT dst FROM ch) GROUP BY node) SELECT node, degree FROM dn UNION ALL SELECT '{START}', 0 WHERE NOT EXISTS (SELECT 1 FROM dn WHERE node = '{START}')")
+def context_nodes(spark, d):
+    return search.context_nodes(context_triples(spark, d), START, 1000)
+
+
+@query("resilient_cold", f"WITH {FACTS} SELECT id, weight FROM f ORDER BY weight DESC, id LIMIT 10")
+def resilient_cold(spark, d):
+    h = resilience.Health()
+    h.failed("embeddings")
+    return resilience.retrieve(h, lambda: context_triples(spark, d), trade_facts(spark, d), 10)[0].select("id", "weight")
+
+
+@query("thread_turn", "WITH x AS (SELECT conv_id AS id, CASE count(*) % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'resolved' ELSE 'dormant' END AS status, (max(turn) % 10) / 10.0::DOUBLE AS recency, (count(*) % 7) / 10.0::DOUBLE AS score FROM conversations GROUP BY conv_id) SELECT id, CASE WHEN status = 'active' AND recency < 0.3 THEN 'dormant' ELSE status END AS status, recency, score FROM x WHERE NOT (status = 'resolved' AND score < 0.3)")
+def thread_turn(spark, d):
+    c = fx.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"), F.max("turn").alias("t"))
+    s = F.when(F.col("n") % 3 == 0, "active").when(F.col("n") % 3 == 1, "resolved").otherwise("dormant")
+    return search.turn(c.select("id", s.alias("status"), (F.col("t") % 10 / 10.0).alias("recency"), (F.col("n") % 7 / 10.0).alias("score")), 0.3)
+
+
+# lifecycle
+
+
+WK = f"{KG}, w AS (SELECT id, w AS local_weight FROM k WHERE p = 'contains')"
+
+
+def weighted(spark, d):
+    return kg(spark, d).where("predicate = 'contains'").select("id", "local_weight")
+
+
+@query("decay", f"WITH {WK} SELECT id, round(local_weight * 0.9, 6) AS local_weight FROM w")
+def decay(spark, d):
+    return learning.decay(weighted(spark, d), 0.9).select("id", F.round("local_weight", 6).alias("local_weight"))
+
+
+@query("decay_floor", f"WITH {WK} SELECT id, round(CASE WHEN local_weight >= 0.6 THEN greatest(local_weight * 0.9, 0.6) ELSE local_weight END, 6) AS local_weight FROM w")
+def decay_floor(spark, d):
+    return learning.decay(weighted(spark, d), 0.9, 0.6).select("id", F.round("local_weight", 6).alias("local_weight"))
+
+
+@query("evict", f"WITH {WK} SELECT id FROM w WHERE local_weight >= 0.75")
+def evict(spark, d):
+    return learning.evict(weighted(spark, d), 0.75).select("id")
+
+
+@query("maintenance", f"WITH {WK}, a AS (SELECT local_weight * 0.95 AS x FROM w), b AS (SELECT x FROM a WHERE x >= 0.6) SELECT (SELECT count(*) FROM w) AS before_count, (SELECT round(sum(local_weight), 4) FROM w) AS before_weight, (SELECT count(*) FROM b) AS after_count, (SELECT round(sum(x), 4) FROM b) AS after_weight")
+def maintenance(spark, d):
+    return learning.cycle(weighted(spark, d), 0.95, 0.6)[1]
+
+
+@query("bounds", f"WITH {WK} SELECT id FROM w WHERE id NOT IN (SELECT id FROM w ORDER BY local_weight, id LIMIT (SELECT greatest(0, count(*) - 4000) FROM w))")
+def bounds(spark, d):
+    return learning.enforce(weighted(spark, d), 5000).select("id")
+
+
+@query("lifecycle", f"WITH {WK}, a AS (SELECT id, local_weight * 0.95 AS x FROM w), b AS (SELECT * FROM a WHERE x >= 0.6) SELECT id, round(x, 6) AS local_weight FROM b WHERE id NOT IN (SELECT id FROM b ORDER BY x, id LIMIT (SELECT greatest(0, count(*) - 4000) FROM b))")
+def lifecycle(spark, d):
+    new, _ = learning.cycle(weighted(spark, d), 0.95, 0.6)
+    return learning.enforce(new, 5000).select("id", F.round("local_weight", 6).alias("local_weight"))
+
+
+@query("utilization", f"WITH {G} SELECT round(greatest((SELECT count(*) FROM g) / 10000.0, (SELECT count(DISTINCT v) FROM (SELECT s AS v FROM g UNION ALL SELECT o FROM g)) / 5000.0), 6)::DOUBLE AS utilization")
+def utilization(spark, d):
+    s = store.stats(kg(spark, d))
+    return s.select(F.round(F.greatest(F.col("n_triples") / 10000.0, F.col("n_nodes") / 5000.0), 6).alias("utilization"))
+
+
+# co-access and feedback
+
+
+CX = f"{LOG}, cx AS (SELECT DISTINCT context, ref FROM log)"
+PC = "SELECT x.ref AS a, y.ref AS b, count(*) AS n FROM {0} x JOIN {0} y ON x.context = y.context AND x.ref < y.ref GROUP BY 1, 2"
+
+
+def ctx(spark, d):
+    return learning.contexts(fx.access_log(spark, d))
+
+
+@query("co_access_pairs", f"WITH {CX} {PC.format('cx')} HAVING count(*) >= 3")
+def co_access_pairs(spark, d):
+    return learning.pair_counts(ctx(spark, d), 3)
+
+
+@query("co_access_window", f"WITH {CX}, lw AS (SELECT context FROM log GROUP BY context ORDER BY max(ts) DESC, context DESC LIMIT 500), c2 AS (SELECT * FROM cx WHERE context IN (SELECT context FROM lw)) {PC.format('c2')}")
+def co_access_window(spark, d):
+    return learning.pair_counts(learning.last_contexts(ctx(spark, d), 500))
+
+
+@query("co_access_expired", f"WITH {CX}, lw AS (SELECT context FROM log GROUP BY context HAVING max(ts) >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR), c2 AS (SELECT * FROM cx WHERE context IN (SELECT context FROM lw)) {PC.format('c2')}")
+def co_access_expired(spark, d):
+    return learning.pair_counts(learning.unexpired(ctx(spark, d), F.lit("2024-01-20").cast("timestamp_ntz")))
+
+
+REF = "rf AS (SELECT i AS ref, src, dst FROM (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS i, src, dst FROM t))"
+
+
+def ref_facts(spark, d):
+    t = fx.trade(spark, d)
+    return t.select((F.row_number().over(Window.orderBy("src", "dst")) - 1).alias("ref"), "src", "dst")  # at most 75 rows
+
+
+@query("reinforce_edges", f"WITH {CX}, {T}, {REF}, pr AS ({PC.format('cx')} HAVING count(*) >= 3), e AS (SELECT a.src AS x, b.src AS y FROM pr JOIN rf a ON a.ref = pr.a JOIN rf b ON b.ref = pr.b UNION ALL SELECT a.dst, b.dst FROM pr JOIN rf a ON a.ref = pr.a JOIN rf b ON b.ref = pr.b) SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM e WHERE x <> y AND NOT EXISTS (SELECT 1 FROM t WHERE (t.src = x AND t.dst = y) OR (t.src = y AND t.dst = x))")
+def reinforce_edges(spark, d):
+    return learning.reinforce(learning.pair_counts(ctx(spark, d), 3), ref_facts(spark, d), fx.trade(spark, d).select("src", "dst"))
+
+
+RATE = "SELECT time_bucket(INTERVAL 10 SECOND, ts) AS start, count(*) AS n, count(*) / 10.0::DOUBLE AS rate, CASE WHEN count(*) / 10.0 >= 500 THEN 'backpressure' WHEN count(*) / 10.0 >= 100 THEN 'spectral' WHEN count(*) / 10.0 >= 10 THEN 'node2vec' ELSE 'spring' END AS strategy FROM events GROUP BY 1"
+
+
+@query("insert_rate", RATE)
+def insert_rate(spark, d):
+    return learning.insert_rates(fx.table(spark, d, "events"))
+
+
+@query("feedback_stats", f"WITH {LOG} SELECT ref, signal, count(*) AS n FROM log WHERE signal IS NOT NULL GROUP BY ref, signal")
+def feedback_stats(spark, d):
+    return learning.feedback_counts(fx.access_log(spark, d))
+
+
+@query("quality_avg", f"WITH {LOG} SELECT round(avg(value), 6) AS quality FROM (SELECT value FROM log ORDER BY ts DESC, event_id DESC LIMIT 200)")
+def quality_avg(spark, d):
+    return learning.recent_quality(fx.access_log(spark, d), 200)
+
+
+@query("feedback_trim", f"WITH {LOG} SELECT event_id FROM log WHERE event_id NOT IN (SELECT event_id FROM log ORDER BY ts, event_id LIMIT CASE WHEN (SELECT count(*) FROM log) > 900 THEN 90 ELSE 0 END)")
+def feedback_trim(spark, d):
+    return learning.trimmed(fx.access_log(spark, d), 900).select("event_id")
+
+
+def _fold_sql(expr: str) -> str:
+    return f"list_reduce(list_prepend(1.0::DOUBLE, list(x ORDER BY event_id)), lambda w, x: greatest(0.1, least(10.0, {expr})))"
+
+
+@query("feedback_adjust", f"WITH {LOG}, y AS (SELECT ref, event_id, signal, CASE signal WHEN 'cited' THEN 1.5 WHEN 'relevant' THEN 1.2 WHEN 'ignored' THEN 0.9 ELSE 0.7 END::DOUBLE AS x FROM log WHERE signal IS NOT NULL) SELECT ref, 1.0::DOUBLE AS old_weight, round({_fold_sql('w * x')}, 6) AS new_weight, CAST(count(*) FILTER (signal IN ('cited', 'relevant')) AS INTEGER) AS reads FROM y GROUP BY ref")
+def feedback_adjust(spark, d):
+    log = fx.access_log(spark, d)
+    w = log.select("ref").distinct().withColumn("weight", F.lit(1.0))
+    return learning.apply_feedback(w, log).withColumn("new_weight", F.round("new_weight", 6))
+
+
+@query("feedback_additive", f"WITH {LOG}, y AS (SELECT ref, event_id, CASE WHEN signal IN ('cited', 'relevant') THEN 0.5 ELSE -0.3 END::DOUBLE AS x FROM log WHERE signal IS NOT NULL) SELECT ref, round({_fold_sql('w + x')}, 6) AS new_weight FROM y GROUP BY ref")
+def feedback_additive(spark, d):
+    log = fx.access_log(spark, d)
+    return learning.apply_feedback(log.select("ref").distinct().withColumn("weight", F.lit(1.0)), log, "additive").select("ref", F.round("new_weight", 6).alias("new_weight"))
+
+
+@query("weight_change", f"WITH {LOG}, y AS (SELECT ref, event_id, CASE signal WHEN 'cited' THEN 1.5 WHEN 'relevant' THEN 1.2 WHEN 'ignored' THEN 0.9 ELSE 0.7 END::DOUBLE AS x FROM log WHERE signal IS NOT NULL), z AS (SELECT ref, {_fold_sql('w * x')} AS w FROM y GROUP BY ref) SELECT round(avg(w - 1), 6) AS avg_change FROM z")
+def weight_change(spark, d):
+    log = fx.access_log(spark, d)
+    return learning.apply_feedback(log.select("ref").distinct().withColumn("weight", F.lit(1.0)), log).agg(F.round(F.avg(F.col("new_weight") - F.col("old_weight")), 6).alias("avg_change"))
+
+
+@query("blend_tuner_step", f"WITH {LOG}, a AS (SELECT context, CASE signal WHEN 'cited' THEN 1.0 WHEN 'relevant' THEN 0.5 WHEN 'ignored' THEN -0.3 ELSE -1.0 END::DOUBLE AS r, CASE WHEN ref % 3 = 0 THEN NULL ELSE ref / 100.0 END::DOUBLE AS s1, value / 1000.0 AS s2, CASE WHEN ref % 2 = 0 THEN NULL ELSE 0.5 END::DOUBLE AS s3 FROM log WHERE signal IS NOT NULL), b AS (SELECT context, sum(coalesce(s1, 0) * r) AS x1, sum(coalesce(s2, 0) * r) AS x2, sum(coalesce(s3, 0) * r) AS x3, sum(coalesce(abs(s1), 0) + coalesce(abs(s2), 0) + coalesce(abs(s3), 0)) AS t FROM a GROUP BY context) SELECT context, round(x1 / t, 6) AS d_spring, round(x2 / t, 6) AS d_node2vec, round(x3 / t, 6) AS d_spectral FROM b WHERE t > 0")
+def blend_tuner_step(spark, d):
+    log = fx.access_log(spark, d)
+    a = log.select("context", "signal", F.when(F.col("ref") % 3 == 0, None).otherwise(F.col("ref") / 100.0).alias("spring"), (F.col("value") / 1000.0).alias("node2vec"), F.when(F.col("ref") % 2 == 0, None).otherwise(0.5).alias("spectral"))
+    r = learning.blend_step(a)
+    return r.select("context", *[F.round(c, 6).alias(c) for c in ("d_spring", "d_node2vec", "d_spectral")])
+
+
+# sessions
+
+
+SES = "ss AS (SELECT conv_id AS session_id, count(*) AS n_exchanges, count(*) FILTER (role = 'user') AS n_user, min(turn) AS first_turn, max(turn) AS last_turn, CASE WHEN arg_max(role, (turn, role)) = 'assistant' THEN 'ended' ELSE 'active' END AS status FROM conversations GROUP BY conv_id)"
+
+
+@query("sessions", f"WITH {SES} SELECT * FROM ss")
+def sessions(spark, d):
+    return learning.sessions(fx.table(spark, d, "conversations"))
+
+
+@query("sessions_list", f"WITH {SES} SELECT session_id, last_turn, status FROM ss WHERE status = 'active' ORDER BY last_turn DESC, session_id DESC LIMIT 20")
+def sessions_list(spark, d):
+    return learning.list_sessions(learning.sessions(fx.table(spark, d, "conversations")), "active", 20).select("session_id", "last_turn", "status")
+
+
+@query("session_end", f"WITH {SES} SELECT session_id, CASE WHEN session_id = 1 THEN 'ended' ELSE status END AS status, CASE WHEN session_id = 1 THEN 'done' END AS summary FROM ss")
+def session_end(spark, d):
+    return learning.end_session(learning.sessions(fx.table(spark, d, "conversations")), 1, "done").select("session_id", "status", "summary")
+
+
+@query("exchanges_page", "SELECT turn, role, text FROM conversations WHERE conv_id = 1 ORDER BY turn LIMIT 3 OFFSET 1")
+def exchanges_page(spark, d):
+    return learning.exchanges(fx.table(spark, d, "conversations"), 1, 3, 1).select("turn", "role", "text")
+
+
+PAT = "pt AS (SELECT p_partkey AS id, lower(p_type) AS description, (p_size % 20) / 20.0::DOUBLE AS confidence, CASE WHEN p_size % 11 = 0 THEN 'archived' ELSE 'emerging' END AS status FROM part)"
+
+
+def patterns(spark, d):
+    p = fx.table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.lower("p_type").alias("description"), (F.col("p_size") % 20 / 20.0).alias("confidence"), F.when(F.col("p_size") % 11 == 0, "archived").otherwise("emerging").alias("status"))
+
+
+@query("patterns_decay", f"WITH {PAT}, q AS (SELECT *, CASE WHEN status <> 'archived' THEN confidence * 0.95 ELSE confidence END AS c FROM pt) SELECT id, round(c, 6) AS confidence, CASE WHEN status <> 'archived' AND c < 0.1 THEN 'archived' WHEN status <> 'archived' AND c < 0.2 THEN 'fading' ELSE status END AS status FROM q")
+def patterns_decay(spark, d):
+    return learning.decay_patterns(patterns(spark, d)).select("id", F.round("confidence", 6).alias("confidence"), "status")
+
+
+@query("patterns_search", f"WITH {PAT} SELECT id, confidence FROM (SELECT * FROM pt WHERE contains(description, 'e') ORDER BY confidence DESC, id LIMIT 30) WHERE confidence >= 0.5")
+def patterns_search(spark, d):
+    return learning.search_patterns(patterns(spark, d), "E", 30, 0.5).select("id", "confidence")
+
+
+@query("patterns_reinforce", f"WITH {PAT}, ev AS (SELECT l_partkey AS id, list_sort(list(DISTINCT l_orderkey % 5)) AS more, count(*) AS times FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_quantity > 45) GROUP BY l_partkey), q AS (SELECT pt.id, CASE WHEN times IS NULL THEN confidence ELSE least(round(confidence + 0.1 * times, 9), 1.0) END AS c, status, coalesce(len(more), 0) AS n_sessions FROM pt LEFT JOIN ev ON ev.id = pt.id) SELECT id, round(c, 6) AS confidence, CASE WHEN status = 'emerging' AND c >= 0.7 THEN 'established' ELSE status END AS status, CAST(n_sessions AS INTEGER) AS n_sessions FROM q")
+def patterns_reinforce(spark, d):
+    ev = fx.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"), "l_orderkey").distinct().select("id", (F.col("l_orderkey") % 5).alias("session"))
+    p = patterns(spark, d).withColumn("sessions", F.array().cast("array<bigint>"))
+    return learning.reinforce_patterns(p, ev).select("id", F.round("confidence", 6).alias("confidence"), "status", F.size("sessions").alias("n_sessions"))
+
+
+@query("patterns_create", "SELECT DISTINCT p_type AS description, 0.4::DOUBLE AS confidence, 'emerging' AS status FROM part")
+def patterns_create(spark, d):
+    return learning.create_patterns(fx.table(spark, d, "part").select(F.col("p_type").alias("description")).distinct())
+
+
+# exchange
+
+
+def halves(spark, d):
+    n = named_kg(spark, d)
+    return n.where("substr(id, 1, 1) < 'a'"), n.where("substr(id, 1, 1) >= '6'")
+
+
+HALF = f"{KG}, mine AS (SELECT * FROM k WHERE substr(id, 1, 1) < 'a'), theirs AS (SELECT * FROM k WHERE substr(id, 1, 1) >= '6'), pol AS (SELECT s AS s, 'local_only' AS p, 'true' AS o FROM (SELECT DISTINCT s FROM k WHERE s LIKE 'order:%1') UNION ALL SELECT DISTINCT s, 'shareable_with', 'did:a' FROM k WHERE s LIKE 'order:%2' UNION ALL SELECT DISTINCT s, 'shareable_with', 'did:b' FROM k WHERE s LIKE 'order:%3' UNION ALL SELECT id, 'retracted_by', 'local' FROM k WHERE id LIKE '%0')"
+
+
+def policies(spark, d):
+    n = named_kg(spark, d)
+    f = lambda pat, p, o: n.where(F.col("s").like(pat)).select("s").distinct().select("s", F.lit(p).alias("p"), F.lit(o).alias("o"))
+    gone = n.where(F.col("id").like("%0")).select(F.col("id").alias("s"), F.lit("retracted_by").alias("p"), F.lit("local").alias("o"))
+    return f("order:%1", "local_only", "true").unionByName(f("order:%2", "shareable_with", "did:a")).unionByName(f("order:%3", "shareable_with", "did:b")).unionByName(gone)
+
+
+@query("shareable", f"WITH {HALF} SELECT id FROM k WHERE s NOT IN (SELECT s FROM pol WHERE p = 'local_only') AND s NOT IN (SELECT s FROM pol WHERE p = 'shareable_with' AND o <> 'did:a')")
+def shareable(spark, d):
+    return exchange.shareable(named_kg(spark, d).select("id", "s", "p", "o"), policies(spark, d), "did:a").select("id")
+
+
+@query("retracted", f"WITH {HALF} SELECT id FROM k WHERE id LIKE '%0'")
+def retracted(spark, d):
+    return exchange.retracted(named_kg(spark, d), policies(spark, d)).select("id")
+
+
+@query("missing_for_peer", f"WITH {HALF} SELECT id FROM mine WHERE id NOT IN (SELECT id FROM theirs)")
+def missing_for_peer(spark, d):
+    return exchange.missing(*halves(spark, d)).select("id")
+
+
+@query("headers_for_hashes", f"WITH {HALF} SELECT id, s, p, o, sha256(unhex(id)) AS hash FROM mine WHERE id IN (SELECT id FROM theirs)")
+def headers_for_hashes(spark, d):
+    mine, theirs = halves(spark, d)
+    return exchange.headers(mine, theirs.select(ids.triple_hash(F.col("id")).alias("hash"))).select("id", "s", "p", "o", "hash")
+
+
+@query("wanted_headers", f"WITH {HALF} SELECT id FROM theirs WHERE id NOT IN (SELECT id FROM mine) AND id NOT LIKE '%0'")
+def wanted_headers(spark, d):
+    mine, theirs = halves(spark, d)
+    return exchange.wanted(theirs, mine, policies(spark, d)).select("id")
+
+
+@query("merge_received", f"WITH {HALF}, ok AS (SELECT * FROM theirs WHERE id NOT LIKE '%0') SELECT id, CASE WHEN id IN (SELECT id FROM ok) THEN least(0.5 + 0.05, 1.0) ELSE 0.5 END::DOUBLE AS base_weight, w AS local_weight FROM mine UNION ALL SELECT id, CASE WHEN p = 'in_nation' THEN 0.6 ELSE 0.1 END::DOUBLE, 0.0 FROM ok WHERE id NOT IN (SELECT id FROM mine)")
+def merge_received(spark, d):
+    mine, theirs = halves(spark, d)
+    sent = theirs.withColumn("origin_did", F.when(F.col("p") == "in_nation", "did:a").otherwise("did:x")).select("id", "s", "p", "o", "origin_did")
+    forged = sent.limit(50).withColumn("id", F.reverse("id")).withColumn("o", F.lit("forged"))
+    trust = spark.sql("SELECT 'did:a' AS origin_did, 0.3D AS rank UNION ALL SELECT 'did:b', 0.7D")
+    out = exchange.merge(mine.withColumn("base_weight", F.lit(0.5)).withColumnRenamed("w", "local_weight"), sent.unionByName(forged), policies(spark, d), trust)
+    return out.select("id", F.round("base_weight", 9).alias("base_weight"), "local_weight")
+
+
+@query("peers_to_sync", "SELECT s_suppkey AS did, CAST(s_suppkey % 4 AS INTEGER) AS trust_phase FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 4 >= 1")
+def peers_to_sync(spark, d):
+    p = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("did"), (F.col("s_suppkey") % 4).cast("int").alias("trust_phase"), (F.col("s_acctbal") > 0).alias("connected"))
+    return exchange.peers_to_sync(p).select("did", "trust_phase")
+
+
+@query("belief_etl", """WITH b AS (SELECT d.doc_id AS id, text AS content, [source, lang] AS path, CASE WHEN toxic = 1 THEN 'subject' WHEN quality = 1 THEN 'source' ELSE 'other' END AS role FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT 'belief:' || id AS s, 'has_content' AS p, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS o FROM b
+UNION ALL SELECT 'belief:' || id, 'has_provenance', 'v1_migration' FROM b
+UNION ALL SELECT 'belief:' || id, 'belongs_to_domain', 'domain:' || path[1] || '/' || path[2] FROM b
+UNION ALL SELECT 'domain:' || path[1], 'domain_label', path[1] FROM b UNION ALL SELECT 'domain:' || path[1] || '/' || path[2], 'domain_label', path[2] FROM b
+UNION ALL SELECT 'domain:' || path[1] || '/' || path[2], 'subdomain_of', 'domain:' || path[1] FROM b
+UNION ALL SELECT 'entity:lang:' || path[2], 'entity_name', upper(path[2]) FROM b
+UNION ALL SELECT 'belief:' || id, CASE role WHEN 'subject' THEN 'about' WHEN 'source' THEN 'from_source' ELSE 'related_to' END, 'entity:lang:' || path[2] FROM b""")
+def belief_etl(spark, d):
+    rows = fx.table(spark, d, "documents").join(fx.table(spark, d, "labels"), "doc_id")
+    role = F.when(F.col("toxic") == 1, "subject").when(F.col("quality") == 1, "source").otherwise("other")
+    ent = F.array(F.struct(F.col("lang").alias("id"), F.upper("lang").alias("name"), F.lit("lang").alias("type"), role.alias("role")))
+    return exchange.beliefs(rows.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.array("source", "lang").alias("path"), ent.alias("entities")))
+
+
+@query("migration_stats", "SELECT count(*) AS beliefs, count(DISTINCT source) + count(DISTINCT source || '/' || lang) AS domains FROM documents JOIN labels USING (doc_id)")
+def migration_stats(spark, d):
+    f = belief_etl(spark, d)
+    return f.agg(F.count(F.when(F.col("p") == "has_content", 1)).alias("beliefs"), F.count_distinct(F.when(F.col("p") == "domain_label", F.col("s"))).alias("domains"))
+
+
+# streams
+
+
+@query("stream_insert_rate", RATE)
+def stream_insert_rate(spark, d):
+    return access.stream_insert_rate(spark, d)
+
+
+@query("stream_co_access", f"WITH {CX} {PC.format('cx')} HAVING count(*) >= 3")
+def stream_co_access(spark, d):
+    return access.stream_co_access(spark, d)
