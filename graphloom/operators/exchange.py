@@ -17,7 +17,7 @@ def retracted(t: DataFrame, facts: DataFrame) -> DataFrame:
 def shareable(t: DataFrame, facts: DataFrame, recipient: str | None) -> DataFrame:
     """Triples (id, s, p, o) that may go to a recipient: retractions always, subjects kept local never, listed ones to those listed."""
     local = facts.where("p = 'local_only'").select("s").distinct()
-    listed = facts.where("p = 'shareable_with'").groupBy("s").agg(F.max((F.col("o") == F.lit(recipient)).cast("int")).alias("_for"))
+    listed = facts.where("p = 'shareable_with'").groupBy("s").agg(F.max(F.coalesce(F.col("o") == F.lit(recipient), F.lit(False)).cast("int")).alias("_for"))
     always = t.where("p in ('retracted_by', 'retracted_at')")
     rest = t.where("p not in ('retracted_by', 'retracted_at')").join(local, "s", "left_anti").join(listed, "s", "left")
     return always.unionByName(rest.where("_for is null or _for = 1").select(t.columns))
