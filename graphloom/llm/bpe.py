@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, table, tidy
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -53,7 +53,7 @@ def _byte_signs() -> list[str]:
 class Encoder:
     """Encoder for a word-level BPE file with an end-of-word suffix, byte-level signs and lower-casing."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 200_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -108,7 +108,7 @@ class Encoder:
         ok = self.pairs.get((a, b))
         if ok is None:
             ok = self.merge(self.symbols(a) + self.symbols(b)) == [a, b]
-            if len(self.pairs) < 2_000_000:
+            if len(self.pairs) < 500_000:
                 self.pairs[(a, b)] = ok
         return ok
 
@@ -228,6 +228,7 @@ def _run(docs, path, id_col, text_col, digests):
 
         e = bpe.encoder(path)
         hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        e.known.clear()  # words of the task before; what is known of token pairs stays
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -239,10 +240,11 @@ def _run(docs, path, id_col, text_col, digests):
                 else:
                     ids = e.encode(part.column(1).to_pylist())
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([e.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        e.known.clear()
 
     bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string")
+    return d.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

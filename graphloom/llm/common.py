@@ -73,6 +73,28 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def tidy(run):
+    """A mapInArrow function that gives its memory back to the system when its task ends: Python workers outlive their tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not every C library has it
+                pass
+
+    return wrapped
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of (a, b) longs by alternating large-star and small-star rounds.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep, table
+from .common import bounded_batches, keep, table, tidy
 from .quality_rules import measured, posteriors
 from .textstats import NAMES, stats
 
@@ -48,7 +48,7 @@ def shape(word: str) -> str:
 class Features:
     """Hashed features of a text; remembers the slots of words it has seen, up to a bound."""
 
-    def __init__(self, bits: int = BITS, remember: int = 300_000):
+    def __init__(self, bits: int = BITS, remember: int = 100_000):
         self.bits, self.remember, self.slots, self.pairs = bits, remember, {}, {}
         self.names: list[str] = []
         self.ids: dict[str, int] = {}
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tolist() for s, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32()))], ["p_good", "slots", "vals"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("p_good", "text")
-    rows = texts.mapInArrow(run, "p_good double, slots array<int>, vals array<float>").limit(3 * sample).collect()
+    rows = texts.mapInArrow(tidy(run), "p_good double, slots array<int>, vals array<float>").limit(3 * sample).collect()
     if not rows:
         return np.zeros(1 << bits)
     x, y = np.zeros((len(rows), 1 << bits), np.float32), np.zeros(len(rows))
@@ -167,7 +167,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(k, pa.bool_())], ["doc_id", "score", "kept"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, kept boolean")
 
 
 def filter_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
@@ -185,7 +185,7 @@ def filter_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) ->
             yield b.filter(pa.array(k, pa.bool_()))
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, keep, table
+from .common import bounded_batches, components, keep, table, tidy
 
 SHINGLE, SEED, THRESHOLD, CHUNK = 4, 42, 4, 2048
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounded_batches(docs.sparkSession)
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return d.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 #: Syndrome masks of the [31, 26] Hamming code: bit j of the syndrome is the parity of the positions (1 to 31) that have bit j.
@@ -164,7 +164,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -> Dat
     )
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = met.repartition(n, "anchor", "ci", "cj").sortWithinPartitions("anchor", "ci", "cj")
-    found = runs.mapInArrow(_compare(threshold), "a long, b long")
+    found = runs.mapInArrow(tidy(_compare(threshold)), "a long, b long")
     return two.union(found).distinct()
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep, table
+from .common import bounded_batches, keep, table, tidy
 
 WINDOW, BASE, LONGEST_SEGMENT = 50, 25, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), 0x94D049BB133111EB, np.uint64(0xBF58476D1CE4E5B9)
@@ -203,13 +203,13 @@ def repeated_segments(d: DataFrame, window: int, base: int) -> DataFrame:
     before, alive, length = None, None, base
     while True:
         src = d if alive is None else d.join(alive, "doc_id")
-        rows = keep(src.mapInArrow(_level(window, length, before), "doc_id long, h long"))
+        rows = keep(src.mapInArrow(tidy(_level(window, length, before)), "doc_id long, h long"))
         shared = keep(rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h"))
         alive = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive"))
         before, length = length, 2 * length
         if length >= window:
             break
-    segs = keep(d.join(alive, "doc_id").mapInArrow(_segments(window, before), "doc_id long, tag int, at int, m long, s long, hs array<long>"))
+    segs = keep(d.join(alive, "doc_id").mapInArrow(tidy(_segments(window, before)), "doc_id long, tag int, at int, m long, s long, hs array<long>"))
     firsts = keep(segs.groupBy("m", "s").agg(F.min("doc_id").alias("d0"), F.first("hs").alias("hs")))
     mixed = firsts.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     opened = keep(firsts.join(mixed, "m").select("m", "s", "d0", F.posexplode("hs").alias("k", "h")))
@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_c
     bounded_batches(docs.sparkSession, 1000)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = keep(repeated_segments(d.where("doc_id is not null"), window, base))
-    return d.join(spans, "doc_id", "left").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string")
+    return d.join(spans, "doc_id", "left").mapInArrow(tidy(_remove(window)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep, table
+from .common import bounded_batches, keep, table, tidy
 
 K, EVERY, SCALE = 20, 20, 64
 BUCKET, QUERIES_A_BLOCK, FOCUS, HIGH = 4096, 512, 4, 0.7
@@ -70,7 +70,7 @@ def _pack(size: int):
 
 def _blocks(df: DataFrame, size: int, parts: int) -> DataFrame:
     by = df.repartitionByRange(parts, F.col("dim"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions("dim", F.col("norm").desc(), "vec_id")
-    return keep(by.mapInArrow(_pack(size), _BLOCK))
+    return keep(by.mapInArrow(tidy(_pack(size)), _BLOCK))
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, bound: np.ndarray | None = None, exact_float: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,17 +155,17 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
     # the longest bucket of each dimension bounds every query's k-th score from below
     top = v.groupBy("dim").agg(F.max(F.struct("longest", "block")).alias("t")).select(F.col("t.block").alias("block"))
     first = _pairs(q, v.join(top, "block"), 1).repartition("q_block")
-    seen = first.mapInArrow(_meet(k, False), _HIT)
+    seen = first.mapInArrow(tidy(_meet(k, False)), _HIT)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = keep(seen)
     low = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "low")
     # bounds travel with their query block: an array a block
-    member = q.select("block", "ids").mapInArrow(_members, "q_block long, query_id long")
+    member = q.select("block", "ids").mapInArrow(tidy(_members), "q_block long, query_id long")
     bounds = keep(member.join(low, "query_id", "left").groupBy(F.col("q_block").alias("block")).agg(F.collect_list("query_id").alias("b_ids"), F.collect_list(F.coalesce("low", F.lit(-(2**62)))).alias("b_low"), F.min(F.coalesce("low", F.lit(-(2**62)))).alias("b_min")))
     rest = _pairs(q.join(bounds, "block"), v.join(top, "block", "left_anti"), parts)
     # a whole pair of blocks is dropped if no query of it can reach its bound there
     rest = rest.where("b_min <= 0 or q_long * v_long >= b_min * (1 - 1e-9)")
-    more = rest.mapInArrow(_meet(k, True), _HIT)
+    more = rest.mapInArrow(tidy(_meet(k, True)), _HIT)
     hits = found.unionByName(more)
     return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep, table
+from .common import bounded_batches, keep, table, tidy
 
 ORDER, SPAN, DECAY, SAMPLE, LANDMARKS, CUT, HIGHEST = 4, 8, 0.8, 6000, 96, 0.7, 2.0
 #: Offsets of a subsequence's letters from its first, inside the span, and the weight of their gaps.
@@ -293,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
     m1, m0 = sum(r["count"] for r in seen if r.toxic), sum(r["count"] for r in seen if not r.toxic)
     if not m1 or not m0:
         return Model(None, None, 0.0, np.array([0, 0, 0, 0, 30.0 if m1 else -30.0]))
-    per = keep(texts.mapInArrow(_unit_rows, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
+    per = keep(texts.mapInArrow(tidy(_unit_rows), "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
     ratio = (F.col("p") + 0.1) / m1 / ((F.col("n") + 0.1) / m0)
     strong = per.where((F.col("p") >= 3) & (ratio >= 8)).orderBy(F.desc(F.col("p") * F.log(ratio)), "unit").limit(400).collect()
     weak = per.where((F.col("n") >= 1) & (ratio < 2)).orderBy(F.xxhash64("unit")).limit(negatives).collect()
@@ -337,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
             e = model.evidence(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(e.tolist(), pa.list_(pa.float64())), b.column(1)], ["e", "toxic"])
 
-    got = texts.mapInArrow(run, "e array<double>, toxic int").collect()  # the sample's rows
+    got = texts.mapInArrow(tidy(run), "e array<double>, toxic int").collect()  # the sample's rows
     model.last = logistic(np.array([r.e for r in got]), np.array([r.toxic for r in got]))
     # the sample's classes are thinned differently; the bias is put back to the true rate
     model.last[-1] -= float(np.log(share[1] / share[0]))
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= CUT).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
