@@ -49,14 +49,20 @@ BAD = r"(?:version|ver|v|release|build|order|invoice|ticket|ref|isbn|issn|sku|se
 FEATURES = ("kind", "digits", "luhn", "plus", "paren", "separators", "before", "after", "good", "bad", "bracketed", "lead", "flat", "pattern")
 
 
-def _located(rx: str, text: str = "txt") -> str:
-    """SQL: array of structs (start, end, ...) of a pattern's matches, from the matches and the pieces between them, evaluated once a row."""
-    kind = "array<struct<start:int,end:int,s:string,pre:string,post:string>>"
-    return f"""transform(array(named_struct('m', regexp_extract_all({text}, r'{rx}', 0), 'p', split({text}, r'{rx}', -1))), x ->
-      if(size(x.m) = 0, cast(array() as {kind}), aggregate(sequence(1, size(x.m)), named_struct('at', 0, 'out', cast(array() as {kind})),
-        (a, i) -> named_struct('at', a.at + length(x.p[i - 1]) + length(x.m[i - 1]),
-          'out', array_append(a.out, named_struct('start', a.at + length(x.p[i - 1]), 'end', a.at + length(x.p[i - 1]) + length(x.m[i - 1]), 's', x.m[i - 1], 'pre', right(x.p[i - 1], 24), 'post', left(x.p[i], 2)))),
-        a -> a.out)))[0]"""
+_SPAN = "array<struct<start:int,end:int,s:string,pre:string,post:string>>"
+
+
+def _located(rx: str, gate: str, text: str = "txt") -> str:
+    """SQL: array of structs (start, end, ...) of a pattern's matches, from the matches and the pieces between them.
+
+    The gate is a cheap condition that holds wherever the pattern can match; pieces are cut only where there are matches.
+    """
+    return f"""if({gate}, transform(array(regexp_extract_all({text}, r'{rx}', 0)), m -> if(size(m) = 0, cast(array() as {_SPAN}),
+      transform(array(split({text}, r'{rx}', -1)), p ->
+        aggregate(sequence(1, size(m)), named_struct('at', 0, 'out', cast(array() as {_SPAN})),
+          (a, i) -> named_struct('at', a.at + length(p[i - 1]) + length(m[i - 1]),
+            'out', array_append(a.out, named_struct('start', a.at + length(p[i - 1]), 'end', a.at + length(p[i - 1]) + length(m[i - 1]), 's', m[i - 1], 'pre', right(p[i - 1], 24), 'post', left(p[i], 2)))),
+          a -> a.out))[0]))[0], cast(array() as {_SPAN}))"""
 
 
 def _luhn(d: str) -> str:
@@ -72,7 +78,14 @@ _VALID = {
     "card": _luhn(_DIGITS),
     "phone": f"length({_DIGITS}) between 8 and 15",
 }
-_GATE = {"email": "contains(txt, '@')", "ip": r"txt rlike r'[0-9]\.[0-9]+\.[0-9]'", "card": r"txt rlike r'[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]'", "phone": "contains(txt, '+')"}
+_QUAD = r"txt rlike r'[0-9]\.[0-9]+\.[0-9]'"
+_GATE = {"email": "contains(txt, '@')", "ip": _QUAD, "card": r"txt rlike r'[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]'", "phone": "contains(txt, '+')"}
+_WIDE_GATE = {
+    "email": [r"txt rlike r'[(\[{<]\x20?(?:at|AT|@)\x20?[)\]}>]|\x20(?:at|AT)\x20[A-Za-z0-9-]+(?:\.|\x20?[(\[{<]|\x20(?:dot|DOT)\x20)'"],
+    "ip": [_QUAD, "contains(txt, ':') and txt rlike r'[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:'"],
+    "card": [r"txt rlike r'[0-9]{4}[\x20-]?[0-9]{4}'", r"txt rlike r'3[47][0-9]{2}[\x20-]?[0-9]{6}'"],
+    "phone": [r"(contains(txt, '+') or contains(txt, '00')) and txt rlike r'(?:\+|00)[0-9]'", r"txt rlike r'[0-9]{3}[\x20.-][0-9]{4}'"],
+}
 
 
 def _class(ch: str) -> str:
@@ -97,11 +110,9 @@ def located(docs: DataFrame) -> DataFrame:
     """Adds base (array of kind, start, end) and cands (array of kind, start, end, based, features) to a frame with a column txt."""
     base, cands = [], []
     for k, kind in enumerate(KINDS):
-        gate = _GATE[kind]
-        found = f"if({gate}, {_located(BASE[kind])}, cast(array() as array<struct<start:int,end:int,s:string,pre:string,post:string>>))"
-        base.append(f"transform(filter({found}, c -> {_VALID[kind]}), c -> named_struct('kind', {k}, 'start', c.start, 'end', c.end))")
-        for n, rx in enumerate(WIDE[kind]):
-            cands.append(f"transform({_located(rx)}, c -> named_struct('start', c.start, 'end', c.end, {_features(k, n)}))")
+        base.append(f"transform(filter({_located(BASE[kind], _GATE[kind])}, c -> {_VALID[kind]}), c -> named_struct('kind', {k}, 'start', c.start, 'end', c.end))")
+        for n, (rx, gate) in enumerate(zip(WIDE[kind], _WIDE_GATE[kind], strict=True)):
+            cands.append(f"transform({_located(rx, gate)}, c -> named_struct('start', c.start, 'end', c.end, {_features(k, n)}))")
     return docs.withColumn("base", F.expr(f"concat({', '.join(base)})")).withColumn("cands", F.expr(f"concat({', '.join(cands)})"))
 
 
