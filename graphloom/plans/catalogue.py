@@ -548,7 +548,7 @@ def tiered_search(spark, d):
     return out.select("node", F.round("similarity", 6).alias("similarity"))
 
 
-@query("explore")
+@query("explore", f"WITH {FACTS}, {T1}, n1 AS (SELECT node, round(similarity, 6) AS similarity FROM t1), bo AS (SELECT id, src AS node, src, dst FROM f UNION ALL SELECT id, dst, src, dst FROM f WHERE src <> dst), r AS (SELECT bo.*, similarity, row_number() OVER (PARTITION BY bo.node ORDER BY id) AS r FROM bo JOIN n1 ON n1.node = bo.node) SELECT node, id, src, dst, similarity FROM r WHERE r <= 3 ORDER BY similarity DESC, node, r LIMIT 50")
 def explore(spark, d):
     first = _tier1(spark, d).select("node", F.round("similarity", 6).alias("similarity"))
     return search.explore(first, trade_facts(spark, d))
@@ -566,7 +566,7 @@ def working_set_graph(spark, d):
     return active(spark, d).select("node", "confidence", "times", F.round("activation", 6).alias("activation"))
 
 
-@query("working_set_query")
+@query("working_set_query", f"WITH {FACTS}, {NV}, q AS (SELECT vec FROM nv WHERE node = '{START}'), near AS (SELECT node, list_cosine_similarity(nv.vec, q.vec) AS c FROM nv CROSS JOIN q ORDER BY c DESC, node LIMIT 20), st AS (SELECT src AS a, dst AS b FROM f UNION ALL SELECT dst, src FROM f WHERE src <> dst), al AS (SELECT '{START}' AS node, 1.0::DOUBLE AS c, 0 AS step UNION ALL SELECT node, c, 1 FROM near UNION ALL SELECT b, 0.7 * c, 2 FROM near JOIN st ON a = node), w AS (SELECT node, arg_min(c, (step, -c)) AS c, count(*) AS times FROM al GROUP BY node ORDER BY c DESC, node LIMIT 100) SELECT node, round(c, 6) AS confidence, times FROM w")
 def working_set_query(spark, d):
     f = trade_facts(spark, d)
     return search.working_set(fx.trade(spark, d), fx.nation_vectors(spark, d), f, START).select("node", F.round("confidence", 6).alias("confidence"), "times")
