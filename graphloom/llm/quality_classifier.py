@@ -104,13 +104,14 @@ class Features:
         return u, np.bincount(inv, np.array(values)).astype(np.float32)
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300, l2: float = 1e-4, rate: float = 0.2) -> np.ndarray:
+def fit_scorer(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, l2: float = 1e-4, rate: float = 0.2) -> np.ndarray:
     """Logistic weights for soft labels by full-batch Adam; deterministic."""
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    x = np.ascontiguousarray(x, np.float32)
     share = weight / max(weight.sum(), 1e-9)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (share * (p - y)) + l2 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        g = (share * (p - y)).astype(np.float32) @ x + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
