@@ -203,11 +203,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int, ridge: float) -> np.nda
     z = np.hstack((x, np.ones((len(x), 1))))
     p, hold = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
     hold[-1, -1] = 1e-6
+    loss = lambda p: np.logaddexp(0, z @ p).sum() - t @ (z @ p) + 0.5 * p @ hold @ p
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(z @ p, -30, 30)))
         d = np.linalg.solve((z.T * (q * (1 - q) + 1e-9)) @ z + hold, z.T @ (t - q) - hold @ p)
-        p = p + np.clip(d, -5, 5)
-        if np.abs(d).max() < 1e-9:
+        size, now = 1.0, loss(p)
+        while size > 1e-6 and loss(p + size * d) > now:
+            size /= 2
+        p = p + size * d
+        if np.abs(size * d).max() < 1e-9:
             break
     return p
 
