@@ -850,7 +850,7 @@ def wanted_headers(spark, d):
 def merge_received(spark, d):
     mine, theirs = halves(spark, d)
     sent = theirs.withColumn("origin_did", F.when(F.col("p") == "in_nation", "did:a").otherwise("did:x")).select("id", "s", "p", "o", "origin_did")
-    forged = sent.limit(50).withColumn("id", F.reverse("id")).withColumn("o", F.lit("forged"))
+    forged = sent.withColumn("id", F.reverse("id")).withColumn("o", F.lit("forged"))
     trust = spark.sql("SELECT 'did:a' AS origin_did, 0.3D AS rank UNION ALL SELECT 'did:b', 0.7D")
     out = exchange.merge(mine.withColumn("base_weight", F.lit(0.5)).withColumnRenamed("w", "local_weight"), sent.unionByName(forged), policies(spark, d), trust)
     return out.select("id", F.round("base_weight", 9).alias("base_weight"), "local_weight")
