@@ -151,7 +151,9 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -> Dat
     """(a, b): links between distinct fingerprints whose components are those of all pairs within the threshold."""
     if threshold > 4:
         raise ValueError("the covering radius used here serves thresholds up to 4")
-    rows = keep(fps.select("fp").distinct()).select(F.explode(anchors()).alias("anchor"), "fp")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # eight bytes a row, but a row becomes 34: dealt out anew, else a few tasks would make all replicas
+    rows = keep(fps.select("fp").distinct()).repartition(n, "fp").select(F.explode(anchors()).alias("anchor"), "fp")
     shared = keep(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"))
     two = shared.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= threshold)).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     more = shared.where("n > 2").select("anchor", F.ceil(F.col("n") / chunk).cast("int").alias("g"))
@@ -162,7 +164,6 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -> Dat
         .select("anchor", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("c", o).alias("ci"), F.greatest("c", o).alias("cj")))).alias("p"), "fp")
         .select("anchor", "p.ci", "p.cj", "fp")
     )
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = met.repartition(n, "anchor", "ci", "cj").sortWithinPartitions("anchor", "ci", "cj")
     found = runs.mapInArrow(tidy(_compare(threshold)), "a long, b long")
     return two.union(found).distinct()
