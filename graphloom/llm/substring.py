@@ -213,7 +213,8 @@ def repeated_segments(d: DataFrame, window: int, base: int) -> DataFrame:
     firsts = keep(segs.groupBy("m", "s").agg(F.min("doc_id").alias("d0"), F.first("hs").alias("hs")))
     mixed = firsts.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     opened = keep(firsts.join(mixed, "m").select("m", "s", "d0", F.posexplode("hs").alias("k", "h")))
-    known = opened.groupBy("m", "h").agg(F.min("d0").alias("lo"), F.max("d0").alias("hi")).where("lo < hi").select("m", "h", "lo")
+    # written first, so that the join's sides are plain exchanges and a hot window's rows can be split
+    known = keep(opened.groupBy("m", "h").agg(F.min("d0").alias("lo"), F.max("d0").alias("hi")).where("lo < hi").select("m", "h", "lo"))
     hits = opened.join(known, ["m", "h"]).where("d0 > lo").groupBy("m", "s").agg(F.collect_list("k").alias("ks"))
     found = segs.select("doc_id", "tag", "at", F.size("hs").alias("n"), "m", "s").join(firsts.select("m", "s", "d0"), ["m", "s"]).join(keep(hits), ["m", "s"], "left")
     found = found.where("doc_id > d0 or ks is not null").select("doc_id", F.struct("tag", "at", "n", F.when(F.expr("doc_id = d0"), F.col("ks")).alias("ks")).alias("span"))
