@@ -68,7 +68,8 @@ class Encoder:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.sign = str.maketrans({chr(i): s for i, s in enumerate(_byte_signs())})
         self.names = {i: t for t, i in {**self.vocab, **self.special}.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs, self.most_pairs = 0, 500_000
         self.known: dict[str, list[int]] = {}
         self.remember = remember
         self._own()
@@ -104,14 +105,6 @@ class Encoder:
             ok = self.selfish[token] = len(s) == 1 or self.merge(s) == [token]
         return ok
 
-    def pair(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            ok = self.merge(self.symbols(a) + self.symbols(b)) == [a, b]
-            if len(self.pairs) < 500_000:
-                self.pairs[(a, b)] = ok
-        return ok
-
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """ids of each distinct word (byte signs, without the mark), depth-first over the words' trie.
 
@@ -119,7 +112,8 @@ class Encoder:
         path that stays on the stack.
         """
         out: dict[str, list[int]] = {}
-        vocab, end, longest = self.vocab, self.end, self.longest
+        vocab, end, longest, pairs, decide = self.vocab, self.end, self.longest, self.pairs, self._decide
+        none: dict[str, bool] = {}
         last: list[str] = [""]  # last[n]: last token of the prefix of length n, without end of word
         before = ""
         for word in sorted(words):
@@ -129,9 +123,19 @@ class Encoder:
             while shared < top and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for stop in range(shared + 1, n):
-                last.append(self._ending(word, stop, last, "", vocab, longest))
-            final = self._ending(word, n, last, end, vocab, longest)
+            for stop in range(shared + 1, n + 1):
+                mark = end if stop == n else ""
+                # the one token that can end the prefix; short ones are likelier, so they are tried first
+                for start in range(stop - 1, max(-1, stop - longest - 1), -1):
+                    t = word[start:stop] + mark
+                    if t in vocab:
+                        ok = pairs.get(last[start], none).get(t)
+                        if decide(last[start], t) if ok is None else ok:
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:stop]!r}")
+                last.append(t)
+            final = last.pop()
             ids, at = [vocab[final]], n - (len(final) - len(end))
             while at > 0:
                 t = last[at]
@@ -141,21 +145,13 @@ class Encoder:
             before = word
         return out
 
-    def _ending(self, word: str, stop: int, last: list[str], mark: str, vocab: dict, longest: int) -> str:
-        """The one token that can end the prefix; short ones are likelier, so they are tried first."""
-        pairs = self.pairs
-        for start in range(stop - 1, max(-1, stop - longest - 1), -1):
-            t = word[start:stop] + mark
-            if t in vocab:
-                if start:
-                    ok = pairs.get((last[start], t))
-                    if ok is None:
-                        ok = self.itself(t) and self.pair(last[start], t)
-                    if ok:
-                        return t
-                elif self.itself(t):
-                    return t
-        raise ValueError(f"no token ends {word[:stop]!r}")
+    def _decide(self, a: str, b: str) -> bool:
+        """Whether b can follow a (or begin a word, where a is empty); remembered up to a bound."""
+        ok = self.itself(b) and (not a or self.merge(self.symbols(a) + self.symbols(b)) == [a, b])
+        if self.n_pairs < self.most_pairs:
+            self.pairs.setdefault(a, {})[b] = ok
+            self.n_pairs += 1
+        return ok
 
     def split(self, text: str) -> list[str]:
         """Words and special tokens, in order."""
@@ -171,8 +167,8 @@ class Encoder:
             at = b
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[tuple[list[int], str, str]]]:
-        """For each text its words' encodings: ids, the ids and the tokens joined by a space. Each distinct word is encoded once."""
+    def encode_batch(self, texts: list[str | None]) -> list[list[tuple[int, str, str, list[int]]]]:
+        """For each text its words' encodings: number of tokens, the ids and the tokens joined by a space, the ids. Each distinct word is encoded once."""
         parts = [self.split(t) if t else [] for t in texts]
         known = self.known
         if len(known) > self.remember:
@@ -187,13 +183,13 @@ class Encoder:
             names = self.names
             for w, s in signed.items():
                 x = ids[s]
-                known[w] = (x, " ".join(map(str, x)), " ".join([names[i] for i in x]))
+                known[w] = (len(x), " ".join(map(str, x)), " ".join([names[i] for i in x]), x)
             for w in new.difference(signed):
-                known[w] = ([self.special[w[1:]]], str(self.special[w[1:]]), w[1:])
+                known[w] = (1, str(self.special[w[1:]]), w[1:], [self.special[w[1:]]])
         return [[known[w] for w in p] for p in parts]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[i for e in p for i in e[0]] for p in self.encode_batch(texts)]
+        return [[i for e in p for i in e[3]] for p in self.encode_batch(texts)]
 
     def decode(self, ids: list[int]) -> str:
         names = self.names
@@ -234,8 +230,13 @@ def _run(docs, path, id_col, text_col, digests):
                 part = b.slice(i, 500)
                 if digests:
                     # the words' parts are joined as they are: the same bytes as joining the tokens one by one
-                    got = e.encode_batch(part.column(1).to_pylist())
-                    cols = [pa.array([sum([len(x[0]) for x in w]) for w in got], pa.int64()), *(pa.array([hexed(" ".join([x[k] for x in w])) for w in got], pa.string()) for k in (1, 2))]
+                    cols = ([], [], [])
+                    for w in e.encode_batch(part.column(1).to_pylist()):
+                        n, ids, names, _ = zip(*w, strict=True) if w else ((), (), (), ())
+                        cols[0].append(sum(n))
+                        cols[1].append(hexed(" ".join(ids)))
+                        cols[2].append(hexed(" ".join(names)))
+                    cols = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     ids = e.encode(part.column(1).to_pylist())
