@@ -53,7 +53,7 @@ def _byte_signs() -> list[str]:
 class Encoder:
     """Encoder for a word-level BPE file with an end-of-word suffix, byte-level signs and lower-casing."""
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 150_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -69,7 +69,7 @@ class Encoder:
         self.sign = str.maketrans({chr(i): s for i, s in enumerate(_byte_signs())})
         self.names = {i: t for t, i in {**self.vocab, **self.special}.items()}
         self.pairs: dict[str, dict[str, bool]] = {}
-        self.n_pairs, self.most_pairs = 0, 500_000
+        self.n_pairs, self.most_pairs = 0, 250_000
         self.known: dict[str, list[int]] = {}
         self.remember = remember
         self._own()
