@@ -46,23 +46,27 @@ def shape(word: str) -> str:
 
 
 class Features:
-    """Hashed features of a text; remembers the slots of words it has seen, up to a bound."""
+    """Hashed features of a text; each shape goes straight to its slot, so a text's features are its own, whatever was read before it.
+
+    The hashes of words are remembered up to a bound, then forgotten: that saves time only.
+    """
 
     def __init__(self, bits: int = BITS, remember: int = 100_000):
-        self.bits, self.remember, self.slots, self.pairs = bits, remember, {}, {}
-        self.names: list[str] = []
-        self.ids: dict[str, int] = {}
+        self.bits, self.remember, self.hashes, self.slots = bits, remember, {}, {}
 
     def _word(self, w: str) -> int:
-        s = shape(w)
-        i = self.ids.get(s)
-        if i is None:
-            if len(self.ids) >= 4096:
-                return self.ids.setdefault("rare", 4096)
-            i = self.ids[s] = len(self.ids)
-        if len(self.slots) < self.remember:
-            self.slots[w] = i
-        return i
+        from xxhash import xxh64_intdigest
+
+        if len(self.hashes) >= self.remember:
+            self.hashes.clear()
+        h = self.hashes[w] = xxh64_intdigest(shape(w))
+        return h
+
+    def _named(self, token: str) -> int:
+        k = self.slots.get(token)
+        if k is None:
+            k = self.slots[token] = _slot(token, self.bits)
+        return k
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(slots, values), each slot once."""
@@ -70,38 +74,22 @@ class Features:
         words = [w for w in words if w]
         n = len(words)
         if not n:
-            return np.array([_slot("empty", self.bits)]), np.array([1.0], np.float32)
-        get, own = self.slots.get, self._word
-        w = np.fromiter((own(x) if (i := get(x)) is None else i for x in words), np.int64, n)
-        one, c1 = np.unique(w, return_counts=True)
-        two, c2 = np.unique(w[:-1] * 5000 + w[1:], return_counts=True)
-        if len(self.names) != len(self.ids):
-            self.names = [k for k, _ in sorted(self.ids.items(), key=lambda x: x[1])]
-        at = lambda i: self.names[i] if i < len(self.names) else "rare"
-        slots, values = [], []
-        for i, c in zip(one.tolist(), c1.tolist(), strict=True):
-            k = self.pairs.get(i)
-            if k is None:
-                k = self.pairs[i] = _slot("1" + at(i), self.bits)
-            slots.append(k)
-            values.append(c / n)
-        for i, c in zip(two.tolist(), c2.tolist(), strict=True):
-            k = self.pairs.get(-i - 1)
-            if k is None:
-                k = _slot("2" + at(i // 5000) + " " + at(i % 5000), self.bits)
-                if len(self.pairs) < self.remember:
-                    self.pairs[-i - 1] = k
-            slots.append(k)
-            values.append(c / n)
+            return np.array([self._named("empty")]), np.array([1.0], np.float32)
+        get, own = self.hashes.get, self._word
+        h = np.fromiter((own(x) if (i := get(x)) is None else i for x in words), np.uint64, n)
+        two = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+        two = (two ^ (two >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        two ^= two >> np.uint64(32)
+        mask = np.uint64((1 << self.bits) - 1)
+        # whole counts are summed before the division, so the order of words can't show in the last digits
+        values = np.bincount((np.concatenate((h, two)) & mask).astype(np.int64), minlength=1 << self.bits) / n
         s = dict(zip(NAMES, stats(text), strict=True))
         ratios = {"sym": s["n_symbols"] / n, "up": s["n_upper"] / max(s["n_letters"], 1), "rep": s["n_repeat_words"] / n, "same": s["n_same"] / n, "dup": s["n_dup_lines"] / max(s["n_lines"], 1), "ends": s["n_ends"] / n, "voc": s["n_distinct"] / n**0.5 / 10, "bars": s["n_bars"] / n}
         for k, x in ratios.items():
-            slots.append(_slot(f"3{k}{min(int(10 * x), 10)}", self.bits))
-            values.append(0.5)
-        slots.append(_slot("bias", self.bits))
-        values.append(1.0)
-        u, inv = np.unique(np.array(slots), return_inverse=True)
-        return u, np.bincount(inv, np.array(values)).astype(np.float32)
+            values[self._named(f"3{k}{min(int(10 * x), 10)}")] += 0.5
+        values[self._named("bias")] += 1.0
+        u = np.flatnonzero(values)
+        return u, values[u].astype(np.float32)
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, l2: float = 1e-4, rate: float = 0.2) -> np.ndarray:

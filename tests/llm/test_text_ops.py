@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, pii, quality_classifier, quality_rules, textstats, toxicity, weak
 from graphloom.llm.common import table
@@ -221,3 +222,20 @@ def test_quality_classifier_keeps_clean_and_drops_junk(spark, put, hard_docs):
     kept = quality_classifier.filter_documents(docs, quality_classifier.fit(docs))
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in quality_classifier.op10_quality_classifier(spark, d).collect())
     assert quality_classifier.op10_quality_classifier(spark, put(documents=([], DOC))).count() == 0
+
+
+def test_quality_scores_do_not_depend_on_what_was_read_before(spark):
+    import itertools
+
+    # over 6000 shapes of twelve signs in two encoded documents, read before or after the plain ones
+    shapes = ["".join(x) for x in itertools.product("aA0", repeat=12) if all(a != b for a, b in itertools.pairwise(x))]
+    assert len(set(map(quality_classifier.shape, shapes))) == len(shapes) > 5000
+    late = ["x-1 Y_2 (z) q=3; #4 w/5", "A1b2 c3D4 <e> {f} [g]", "http://h.i/j?k=1 l@m.n $5 %6"]
+    rows = [(0, " ".join(shapes[::2])), (1, " ".join(shapes[1::2])), *((i + 2, x) for i, x in enumerate(late))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    w = np.random.default_rng(1).normal(size=1 << quality_classifier.BITS) * 9
+    got = [{r.doc_id: r.score for r in quality_classifier.score(d, w).collect()} for d in (docs, docs.orderBy(F.desc("doc_id")).coalesce(1), docs.repartition(5, "doc_id"))]
+    assert got[0] == got[1] == got[2]
+    fresh = {i: quality_classifier.Features()(x) for i, x in rows}
+    small = quality_classifier.Features(remember=10)
+    assert all((a == c).all() and (b == d).all() for i, x in rows for (a, b), (c, d) in [(fresh[i], small(x))])
