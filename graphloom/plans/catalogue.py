@@ -894,3 +894,85 @@ def stream_insert_rate(spark, d):
 @query("stream_co_access", f"WITH {CX} {PC.format('cx')} HAVING count(*) >= 3")
 def stream_co_access(spark, d):
     return access.stream_co_access(spark, d)
+
+
+# the graph and retrieval queries over all facts of the tables, with every vector; all-pairs work over the whole flow between nations
+
+PART, OTHER_PART, BUYER, ORDER = "part:1", "part:5", "customer:1", "order:1"
+
+
+def links(spark, d):
+    return fx.edges(spark, d).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+
+
+def fact_rows(spark, d):
+    """(id, src, dst, weight, n_sources): all facts; what an order contains has the order as its source."""
+    e = fx.edges(spark, d)
+    return e.select(F.concat("s", F.lit(">"), "p", F.lit(">"), "o").alias("id"), F.col("s").alias("src"), F.col("o").alias("dst"), F.col("w").alias("weight"), F.when(F.col("p") == "contains", 1).otherwise(0).cast("long").alias("n_sources"))
+
+
+def fact_confidence(spark, d, context=None):
+    f = fact_rows(spark, d)
+    return search.confidence(links(spark, d), f.select("id", "src", "dst"), f, context)
+
+
+def _first_facts(spark, d):
+    return search.tier_one(fx.part_vectors(spark, d), PART, 6)
+
+
+def _second_facts(spark, d):
+    return search.tier_two(links(spark, d), fx.part_vectors(spark, d), _first_facts(spark, d), 1)
+
+
+def _active_facts(spark, d):
+    return search.activated(search.graph_working_set(fact_rows(spark, d), PART, 2), F.lit(600.0), 1800.0)
+
+
+def _context_facts(spark, d, v):
+    return search.context_facts(fact_rows(spark, d), v, _active_facts(spark, d), PART, 15)
+
+
+def _three(v):
+    names = F.array(*[F.lit(s) for s in ("spring", "node2vec", "spectral")])
+    return v.select("node", "vec", F.posexplode(names).alias("i", "strategy")).select("node", "strategy", F.transform("vec", lambda x: x * (F.col("i") + 1) + F.col("i")).alias("vec"))
+
+
+def _at(node):
+    return lambda spark: spark.sql("SELECT 1").select(F.lit(node).alias("node"))
+
+
+WHOLE = {
+    "bfs_distances_facts": lambda spark, d: graph.bfs(links(spark, d), _at(PART)(spark), 3),
+    "neighbors_facts_k1": lambda spark, d: graph.neighbours(links(spark, d), PART, 1),
+    "neighbors_facts_k2": lambda spark, d: graph.neighbours(links(spark, d), PART, 2),
+    "subgraph_nodes_facts": lambda spark, d: graph.neighbours(links(spark, d), PART, 2).select(F.explode(F.array("src", "dst")).alias("v"), "src", "dst").agg(F.count_distinct("src", "dst").alias("n_edges"), F.count_distinct("v").alias("n_nodes")),
+    "degrees_facts": lambda spark, d: graph.degrees(links(spark, d)),
+    "pagerank_facts_20": lambda spark, d: graph.pagerank(links(spark, d)),
+    "scc_facts": lambda spark, d: graph.scc(links(spark, d)),
+    "wcc_facts": lambda spark, d: graph.wcc(links(spark, d)),
+    "shortest_path_facts": lambda spark, d: graph.shortest_paths(links(spark, d), ORDER).select("node", "hops", F.array_join("path", ">").alias("path")),
+    "path_counts_facts": lambda spark, d: graph.path_counts(links(spark, d), ORDER, 4),
+    "reachability_flow": lambda spark, d: graph.reachability(fx.flow(spark, d)),
+    "betweenness_flow": lambda spark, d: graph.betweenness(fx.flow(spark, d)),
+    "spectral_facts": lambda spark, d: embed.spectral(links(spark, d), 8),
+    "node2vec_walks_facts": lambda spark, d: embed.walks(links(spark, d), 4, 8, 1.0, 2.0).select("walk", F.array_join("path", ">").alias("path")),
+    "node2vec_facts": lambda spark, d: embed.node2vec(links(spark, d), 16),
+    "confidence_facts": lambda spark, d: fact_confidence(spark, d),
+    "confidence_facts_context": lambda spark, d: fact_confidence(spark, d, ORDER),
+    "combined_facts": lambda spark, d: search.combined(links(spark, d), fx.part_vectors(spark, d), PART, OTHER_PART, 2, 10),
+    "combined_facts_presets": lambda spark, d: search.combined(links(spark, d), _three(fx.part_vectors(spark, d)), PART, OTHER_PART, 2, 10, scores.BLENDS["exploratory"]),
+    "search_facts": lambda spark, d: search.search(links(spark, d), fx.part_vectors(spark, d), PART, 8),
+    "search_facts_cold": lambda spark, d: search.cold_search(links(spark, d), BUYER, 12),
+    "tier1_facts": _first_facts,
+    "tier2_facts": _second_facts,
+    "tier3_facts": lambda spark, d: search.tier_three(_second_facts(spark, d), fact_confidence(spark, d)),
+    "tiered_search_facts": lambda spark, d: search.tiered(links(spark, d), fx.part_vectors(spark, d), lambda c: fact_confidence(spark, d, c), PART, 8, search.Budget(10_000))[0],
+    "explore_facts": lambda spark, d: search.explore(_first_facts(spark, d), fact_rows(spark, d)),
+    "working_set_facts_graph": _active_facts,
+    "working_set_facts_query": lambda spark, d: search.working_set(links(spark, d), fx.part_vectors(spark, d), fact_rows(spark, d), PART),
+    "context_triples_facts": lambda spark, d: _context_facts(spark, d, fx.part_vectors(spark, d)),
+    "context_triples_facts_cold": lambda spark, d: _context_facts(spark, d, fx.part_vectors(spark, d).where(F.col("node") != PART)),
+    "context_nodes_facts": lambda spark, d: search.context_nodes(_context_facts(spark, d, fx.part_vectors(spark, d)), PART, 1000),
+}
+for _name, _run in WHOLE.items():
+    query(_name)(_run)

@@ -51,8 +51,8 @@ g AS (
   UNION ALL SELECT 'part:' || p_partkey, 'has_brand', 'brand:' || p_brand, 1.0::DOUBLE, TIMESTAMP '2020-01-01' FROM part)"""
 
 
-def trade(spark: SparkSession, sf_dir: str, per_nation: int = 3) -> DataFrame:
-    """(src, dst, n): each supplier nation's strongest customer nations by order lines; at most 75 edges."""
+def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, n): supplier nation to customer nation with its order lines; every pair that trades, 625 at most."""
     t = lambda n: table(spark, sf_dir, n)
     nation = t("nation").select("n_nationkey", "n_name")
     lines = t("lineitem").select("l_orderkey", "l_suppkey")
@@ -63,9 +63,13 @@ def trade(spark: SparkSession, sf_dir: str, per_nation: int = 3) -> DataFrame:
         .groupBy("s_nationkey", "c_nationkey").agg(F.count("*").alias("n"))
     )
     a, b = F.broadcast(nation.toDF("ak", "src")), F.broadcast(nation.toDF("bk", "dst"))  # 25 rows by definition
-    named = sold.join(a, F.col("s_nationkey") == F.col("ak")).join(b, F.col("c_nationkey") == F.col("bk")).select("src", "dst", "n")
+    return sold.join(a, F.col("s_nationkey") == F.col("ak")).join(b, F.col("c_nationkey") == F.col("bk")).select("src", "dst", "n")
+
+
+def trade(spark: SparkSession, sf_dir: str, per_nation: int = 3) -> DataFrame:
+    """(src, dst, n): each supplier nation's strongest customer nations by order lines; at most 75 edges."""
     place = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return named.withColumn("r", F.row_number().over(place)).where(F.col("r") <= per_nation).select("src", "dst", "n")
+    return flow(spark, sf_dir).withColumn("r", F.row_number().over(place)).where(F.col("r") <= per_nation).select("src", "dst", "n")
 
 
 TRADE_SQL = """
@@ -87,6 +91,11 @@ def nation_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.join(vectors(spark, sf_dir), F.col("i") == F.col("id")).select(F.col("n_name").alias("node"), "vec")
 
 
+def part_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, vec): every vector, as that of the part of its number."""
+    return vectors(spark, sf_dir).select(F.concat(F.lit("part:"), F.col("id").cast("string")).alias("node"), "vec")
+
+
 NATION_VECTORS_SQL = """
 nv AS (SELECT n_name AS node, CAST(embedding AS DOUBLE[]) AS vec FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation) JOIN embeddings ON i = vec_id)"""
 
