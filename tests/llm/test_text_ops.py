@@ -239,3 +239,13 @@ def test_quality_scores_do_not_depend_on_what_was_read_before(spark):
     fresh = {i: quality_classifier.Features()(x) for i, x in rows}
     small = quality_classifier.Features(remember=10)
     assert all((a == c).all() and (b == d).all() for i, x in rows for (a, b), (c, d) in [(fresh[i], small(x))])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quality_scorer_is_fitted_to_the_end(seed):
+    rng = np.random.default_rng(seed)
+    x = ((rng.random((600, 64)) < 1 / np.arange(1, 65)) * rng.random((600, 64))).astype(np.float32)  # rare slots at the end
+    x[:, 0] = 1
+    y = 1 / (1 + np.exp(-(x @ (2 * rng.normal(size=64)))))
+    w = quality_classifier.fit_scorer(x, y, np.ones(600))
+    assert np.linalg.norm((1 / (1 + np.exp(-(x @ w))) - y) @ x / 600 + 1e-4 * w) < 1e-7
