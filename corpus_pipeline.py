@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, mixing, pii, quality_classifier, simhash
-from graphloom.llm.common import keep, table
+from graphloom.llm.common import components, keep, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +19,18 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id. Rows without an id stay once a text."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    first = keep(groups.where("doc_id = component_id").select("doc_id").distinct())
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+    """One row of each near-duplicate group: that with the smallest doc_id (rows without one come last), then with the least text hashes.
+
+    Rows, not ids, are compared: texts that share a doc_id, and rows without one, stay or go each by its own group.
+    """
+    marked = docs.withColumns({"text_h1": F.xxhash64("text"), "text_h2": F.xxhash64(F.lit(1), "text")})
+    fps = keep(simhash.fingerprints(marked, more=("text_h1", "text_h2")))
+    roots = components(simhash.links(fps))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_h1", "text_h2")
+    least = fps.groupBy("fp").agg(F.min(row).alias("row")).join(roots, F.col("fp") == F.col("node"), "left")
+    first = keep(least.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row")).select("row.*").toDF("nameless", "first_id", "first_h1", "first_h2").drop("nameless"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.col("text_h1") == F.col("first_h1")) & (F.col("text_h2") == F.col("first_h2"))
+    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", "text_h1", "text_h2"]).select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

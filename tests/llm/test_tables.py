@@ -159,3 +159,19 @@ def test_pipeline_stages(spark, put, hard_docs):
     assert c.run(spark, d).count() == seen["bpe"].count()
     e = put(documents=([], DOC))
     assert c.run(spark, e).count() == 0
+
+
+def test_pipeline_deduplicates_rows_not_ids(spark, put):
+    import corpus_pipeline as c
+
+    rng = random.Random(8)
+    a, b, x, y, z = (" ".join(sentence(rng, 15) for _ in range(6)) for _ in range(5))
+    near = lambda t: t[:-1].replace(" ", "  ", 3)
+    rows = [(1, a), (2, b), (2, near(a)), (7, x), (7, y), (None, near(b)), (None, x), (None, z), (None, near(z)), (9, z.upper()), (7, y)]
+    d = put(documents=(rows, DOC))
+    docs = table(spark, d, "documents")
+    got = c.deduplicate(spark, docs, d)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, a), (2, b), (7, x), (7, y), (9, z.upper())])
+    nameless = c.deduplicate(spark, docs.where("doc_id is null"), d)
+    assert len({r.text.replace("  ", " ").rstrip(".") for r in nameless.collect()}) == nameless.count() == 3
