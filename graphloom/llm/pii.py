@@ -266,9 +266,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = located(d.select("txt").where("txt is not null"))
     model = fit(keep(found.select("base", "cands").where("size(cands) > 0")))
     done = selected(located(d.withColumn("txt", F.coalesce("txt", F.lit("")))), model)
-    # spans by place; where kinds overlap, the earlier and longer one covers
+    # spans by place; where kinds overlap, the earlier and longer one names the stretch, which goes on to the end of the later one
     order = "array_sort(transform(spans, s -> named_struct('start', s.start, 'stop', -s.end, 'kind', s.kind)))"
-    parts = f"aggregate({order}, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, s) -> if(s.start >= a.at, named_struct('at', -s.stop, 'out', concat(a.out, array(substr(txt, a.at + 1, s.start - a.at), concat('<', {_NAMED}, '>')))), a), a -> array_join(array_append(a.out, substr(txt, a.at + 1)), ''))"
+    parts = f"aggregate({order}, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, s) -> if(s.start >= a.at, named_struct('at', -s.stop, 'out', concat(a.out, array(substr(txt, a.at + 1, s.start - a.at), concat('<', {_NAMED}, '>')))), named_struct('at', greatest(a.at, -s.stop), 'out', a.out)), a -> array_join(array_append(a.out, substr(txt, a.at + 1)), ''))"
     clean = F.expr(f"if(size(spans) = 0, txt, {parts})")
     done = done.withColumn("clean", F.when(F.col("row")[text_col].isNull(), F.lit(None)).otherwise(clean))
     return done.select(*[(F.col("clean") if c == text_col else F.col("row")[c]).alias(c) for c in names])

@@ -249,3 +249,18 @@ def test_quality_scorer_is_fitted_to_the_end(seed):
     y = 1 / (1 + np.exp(-(x @ (2 * rng.normal(size=64)))))
     w = quality_classifier.fit_scorer(x, y, np.ones(600))
     assert np.linalg.norm((1 / (1 + np.exp(-(x @ w))) - y) @ x / 600 + 1e-4 * w) < 1e-7
+
+
+def test_redaction_covers_the_end_of_overlapping_spans(spark):
+    def luhn(n):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(n))) % 10 == 0
+
+    card = next(str(n) for n in range(4111111111111110, 4111111111111300) if luhn(f"{n}10"))
+    rows = [(1, f"pay {card} 10.0.0.1 now"), (2, "host 10.0.0.1 now"), (3, "plain text"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: sorted((s.start, s.end) for s in r.spans) for r in pii.spans(docs).collect()}
+    (a, b), (c, d) = found[1]
+    assert a < c < b < d  # the case is there: the second span starts inside the first and ends beyond it
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got[1].endswith("> now") and got[1].count("<") == 1 and ".0.0.1" not in got[1]
+    assert got[2] == "host <ip> now" and got[3] == "plain text" and got[4] is None
