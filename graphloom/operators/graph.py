@@ -6,6 +6,8 @@ from both ends. Each loop cuts its lineage in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,13 +84,13 @@ def neighbours(edges: DataFrame, start: str, depth: int) -> DataFrame:
     return touched.unionByName(other)
 
 
-def shortest_paths(edges: DataFrame, start: str, goal: str | None = None, most: int = 64) -> DataFrame:
-    """(node, hops, path): the directed shortest path from start, the least in order of names; to goal only, if given."""
+def shortest_paths(edges: DataFrame, start: str, goal: str | None = None) -> DataFrame:
+    """(node, hops, path): the directed shortest path from start, the least in order of names; to goal only, if given. However far it is."""
     steps = settle(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct())
     one = edges.sparkSession.sql("SELECT 1").select(F.lit(start).alias("node"))
     front = one.join(vertices(edges), "node", "left_semi").select("node", F.lit(0).alias("hops"), F.array("node").alias("path"))
     seen = front
-    for _ in range(most):
+    while True:
         if goal is not None and not seen.where(F.col("node") == goal).isEmpty():
             break
         new = front.join(steps, front["node"] == steps["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.struct("hops", "path")).alias("x"))
@@ -96,7 +98,7 @@ def shortest_paths(edges: DataFrame, start: str, goal: str | None = None, most:
         front = settle(new)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = settle(seen.unionByName(front))
     return seen if goal is None else seen.where(F.col("node") == goal)
 
 
@@ -123,7 +125,7 @@ def path_counts(edges: DataFrame, start: str, depth: int, goal: str | None = Non
     return out if goal is None else out.where(F.col("node") == goal)
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, most: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(node, score): share of directed shortest paths through a node, over (N - 1)(N - 2); parallel edges multiply paths.
 
     All sources at once: layers of (source, node, distance, paths) forward, then dependencies layer by layer back. The rows
@@ -134,13 +136,13 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, most: int =
     n = every.count()
     front = (sources or every).select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
     layers, seen = [front], front
-    for d in range(1, most):
+    for d in itertools.count(1):
         new = front.join(links, front["v"] == links["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum(F.col("paths") * F.col("m")).alias("paths"))
         front = settle(new.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(d).alias("d"), "paths"))
         if front.isEmpty():
             break
         layers.append(front)
-        seen = seen.unionByName(front)
+        seen = settle(seen.unionByName(front))
     spark = edges.sparkSession
     total = None
     below = None  # (s, w, paths, delta) of the layer below

@@ -345,7 +345,7 @@ def wcc(spark, d):
 
 @query("shortest_path", f"WITH RECURSIVE {T}, p AS (SELECT '{START}' AS node, 0 AS hops, ['{START}'] AS path WHERE EXISTS (SELECT 1 FROM t WHERE src = '{START}' OR dst = '{START}') UNION ALL SELECT t.dst, hops + 1, list_append(path, t.dst) FROM p JOIN t ON p.node = t.src WHERE NOT list_contains(path, t.dst) AND hops < 7) SELECT node, CAST(min(hops) AS INTEGER) AS hops, array_to_string(arg_min(path, (hops, path)), '>') AS path FROM p GROUP BY node")
 def shortest_path(spark, d):
-    return graph.shortest_paths(fx.trade(spark, d), START, most=7).select("node", "hops", F.array_join("path", ">").alias("path"))
+    return graph.shortest_paths(fx.trade(spark, d), START).select("node", "hops", F.array_join("path", ">").alias("path"))
 
 
 PATHS = f"p AS (SELECT '{START}' AS node, ['{START}'] AS path, 0 AS hops UNION ALL SELECT t.dst, list_append(path, t.dst), p.hops + 1 FROM p JOIN t ON p.node = t.src WHERE NOT list_contains(path, t.dst) AND p.hops < {{}}), pc5 AS (SELECT node, count(*) AS paths FROM p GROUP BY node)"

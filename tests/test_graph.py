@@ -110,3 +110,11 @@ def test_spring(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0])], "node string, vec array<double>")
     got = values(embed.spring(v, edges(spark, [("a", "b")])))
     assert got["a"] == pytest.approx([0.9, 0.1, 0]) and got["b"] == pytest.approx([0.1, 0.9, 0])
+
+
+def test_long_chains_are_walked_to_the_end(spark):
+    n = 70
+    e = edges(spark, [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(n)]).coalesce(1)
+    assert graph.shortest_paths(e, "n00", f"n{n:02d}").first().hops == n
+    b = values(graph.betweenness(e, start(spark, "n00")))
+    assert b == pytest.approx({f"n{i:02d}": (n - i) / (n * (n - 1)) if 0 < i < n else 0 for i in range(n + 1)})
