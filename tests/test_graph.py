@@ -1,6 +1,7 @@
 """Toy graphs with known results."""
 
 import itertools
+import os
 
 import pytest
 
@@ -118,3 +119,15 @@ def test_long_chains_are_walked_to_the_end(spark):
     assert graph.shortest_paths(e, "n00", f"n{n:02d}").first().hops == n
     b = values(graph.betweenness(e, start(spark, "n00")))
     assert b == pytest.approx({f"n{i:02d}": (n - i) / (n * (n - 1)) if 0 < i < n else 0 for i in range(n + 1)})
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no fixture tables")
+def test_approximate_search_recalls_nine_of_ten(spark):
+    from graphloom.operators import search
+    from graphloom.sources import fixture
+
+    v = fixture.vectors(spark, "/root/testdata/sf0.001").cache()
+    every = {r.id: r.vec for r in v.collect()}
+    hits = [len({r.id for r in embed.ann(v, every[i], 10).collect()} & {r.id for r in search.knn(v, every[i], 10).collect()}) for i in sorted(every)[::25]]
+    print("mean recall at 10:", sum(hits) / len(hits) / 10, "over", len(hits), "queries")
+    assert sum(hits) >= 9 * len(hits)
