@@ -1,6 +1,6 @@
 """Toxicity by a gap-weighted subsequence string kernel, Nyström landmarks and a linear SVM.
 
-Strings compared are the units of a sentence: the letters and digits of each run of non-space characters, and
+Strings compared are the units of a whole document: the letters and digits of each run of non-space characters, and
 of each run of three or more single characters spelled out with spaces between, taken as one. So "i-d-i-o-t" and
 "i d i o t" are the unit "idiot". The kernel of two units sums, over common subsequences of four letters inside
 a span of eight, decay to the power of both gaps, so "idixot" keeps most of its likeness. It is scaled by what
@@ -8,9 +8,10 @@ units of their lengths could reach.
 
 Landmarks are units of the training texts, chosen by evidence and for being unlike each other. A unit's
 kernel values at the landmarks, whitened by the landmarks' own kernel matrix (Nyström), are the features of
-a linear SVM with squared hinge loss. Sentences are labelled by their document; a sentence's score is that of
-its strongest unit (the witness), negatives are the units of sentences in clean documents, positives those
-that toxic sentences hold far more often, with inserted-character spellings of each. A document's probability comes from
+a linear SVM with squared hinge loss. Units are labelled by the documents that hold them: negatives are units
+of clean documents, positives those that toxic documents hold far more often, with inserted-character
+spellings of each. Texts are not split into sentences, an insult of several words has no feature of its own,
+and units of fewer than four letters are not seen. A document's probability comes from
 its three strongest witnesses and its length, by a logistic fit on the labelled documents (Platt).
 
 Training uses at most about ``sample`` labelled documents (drawn by hash, documented bound ``SAMPLE``) whose
