@@ -67,18 +67,19 @@ def keep(df: DataFrame) -> DataFrame:
     return Kept(df).df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches small enough for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def pieces(batches, rows: int):
+    """The batches cut into slices of at most so many rows. Spark bounds a batch's bytes itself, so no session setting is touched."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
-def tidy(run):
-    """A mapInArrow function that gives its memory back to the system when its task ends: Python workers outlive their tasks."""
+def tidy(run, rows: int = 500):
+    """A mapInArrow function that sees a few rows at a time and gives its memory back to the system when its task ends: Python workers outlive their tasks."""
 
     def wrapped(batches):
         try:
-            yield from run(batches)
+            yield from run(pieces(batches, rows))
         finally:
             import ctypes
             import gc

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep, table, tidy
+from .common import keep, table, tidy
 from .quality_rules import measured, posteriors
 from .textstats import NAMES, stats
 
@@ -155,7 +155,6 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
                 k.append(bool(p >= KEEP_AT and text and text.split() != []))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(k, pa.bool_())], ["doc_id", "score", "kept"])
 
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, kept boolean")
 
 
@@ -173,7 +172,6 @@ def filter_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) ->
                 k.append(bool(float(w[at] @ v) >= 0 and text and text.split() != []))
             yield b.filter(pa.array(k, pa.bool_()))
 
-    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(tidy(run), schema)
 
 

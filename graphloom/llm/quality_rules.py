@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import bounded_batches, keep, table, tidy
+from .common import keep, table, tidy
 from .textstats import NAMES, stats
 
 KEEP_AT = 0.5
@@ -69,7 +69,6 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             text = np.array(["-", "0", "1"])[v + 1]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[:, i]) for i in range(len(NAMES))), pa.array(["".join(r) for r in text], pa.string())], ["doc_id", *NAMES, "votes"])
 
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), _SCHEMA)
 
 

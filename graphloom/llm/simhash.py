@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, keep, table, tidy
+from .common import components, keep, table, tidy
 
 SHINGLE, SEED, THRESHOLD, CHUNK = 4, 42, 4, 2048
 
@@ -62,7 +62,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *more])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
-    bounded_batches(docs.sparkSession)
     return d.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep, table, tidy
+from .common import keep, table, tidy
 
 WINDOW, BASE, LONGEST_SEGMENT = 50, 25, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), 0x94D049BB133111EB, np.uint64(0xBF58476D1CE4E5B9)
@@ -223,7 +223,6 @@ def repeated_segments(d: DataFrame, window: int, base: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) a row; kept: the words that stay, joined by one space."""
-    bounded_batches(docs.sparkSession, 1000)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = keep(repeated_segments(d.where("doc_id is not null"), window, base))
     return d.join(spans, "doc_id", "left").mapInArrow(tidy(_remove(window)), "doc_id long, n_words long, n_removed long, kept string")

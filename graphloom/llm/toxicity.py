@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep, table, tidy
+from .common import keep, table, tidy
 
 ORDER, SPAN, DECAY, SAMPLE, LANDMARKS, CUT, HIGHEST = 4, 8, 0.8, 6000, 96, 0.7, 2.0
 #: Offsets of a subsequence's letters from its first, inside the span, and the weight of their gaps.
@@ -357,12 +357,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = model.probability(model.evidence(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= CUT).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    bounded_batches(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep, new_dir, table, tidy
+from .common import keep, new_dir, table, tidy
 
 FRAME_BYTES, BUNDLE_BYTES, LEAST = 1 << 18, 4 << 20, 100
 _SKIP, _SEEK = 0x184D2A5E, 0x8F92EAB1
@@ -151,7 +151,6 @@ BUNDLES = "bundle string, records array<struct<page_id: long, frame: int, offset
 
 def write(pages: DataFrame, path: str, least: int = LEAST, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
     """Archives (page_id, url, html) under path, a folder of any store."""
-    bounded_batches(pages.sparkSession, 500)
     packed = classify(pages, least).mapInArrow(tidy(_pack(frame_bytes, bundle_bytes)), BUNDLES)
     packed.write.option("compression", "none").parquet(path)
 
@@ -183,7 +182,6 @@ def fetch(spark, path: str, page_ids: list[int]) -> DataFrame:
 
 def read(spark, path: str) -> DataFrame:
     """Every record of an archive, from its bytes: headers, digest and length of what is stored."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a bundle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -202,7 +200,7 @@ def read(spark, path: str) -> DataFrame:
                         out.append((ref("WARC-Record-ID"), head["WARC-Target-URI"], body, int(head["X-Payload-Length"]), digest, kind, ref("WARC-Refers-To")))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    return bundles(spark, path).select("data").mapInArrow(tidy(run), _HEAD)
+    return bundles(spark, path).select("data").mapInArrow(tidy(run, 4), _HEAD)
 
 
 _TYPES = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
