@@ -130,6 +130,36 @@ def test_pii_finds_what_the_base_drops(spark, put):
     assert pii.redact(table(spark, put(documents=([], DOC)), "documents")).count() == 0
 
 
+def test_pii_time_is_linear_in_matches(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"10.{i % 200}.{i // 200 % 200}.7 or a{i}@b.example.com" for i in range(n // 2))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = pii.spans(docs).select(F.size("base").alias("n"), F.size("spans").alias("m")).first()
+        assert (row.n, row.m) == (n, n)
+        assert pii.redact(docs).first().text == " ".join(["<ip> or <email>"] * (n // 2))
+        return time.perf_counter() - began
+
+    took(400)
+    assert took(16_000) < 2.6 * took(8_000) + 2
+
+
+def test_pii_thresholds_hold_on_documents_left_out(spark):
+    """Trees fitted without a fold of the documents, on the corpus' candidates and the seeds: precision and recall there."""
+    rng = random.Random(12)
+    texts = [f"{sentence(rng, 20)} mail u{i}@h{i}.example.org or from 10.{i % 250}.3.{i % 99} {rng.choice(['tel', 'order', 'and'])} +1 ({200 + i}) 555-{1000 + i} {sentence(rng, 5)}" for i in range(200)]
+    rows = pii.labelled(pii.located(spark.createDataFrame([(t,) for t in texts], "txt string")))
+    scored = pii.held_out(rows)
+    at = pii.calibrate(scored)
+    assert {y for _, y, _, _ in rows} == {0, 1} and len({f for *_, f in rows}) == pii.FOLDS
+    taken = [(y, w) for k, v, y, w in scored if v >= at[k]]
+    right = sum(w for y, w in taken if y)
+    assert right >= 0.95 * sum(w for _, w in taken)
+    assert right >= 0.9 * sum(w for _, _, y, w in scored if y)
+
+
 def test_bpe_is_the_library(spark, put, hard_docs):
     from tokenizers import Tokenizer
 
