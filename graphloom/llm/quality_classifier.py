@@ -3,11 +3,12 @@
 Overlapping heuristic labellers vote on every document; expectation-maximisation over the pattern counts of
 all documents estimates their accuracies; the posterior probabilities are the soft labels of a logistic
 scorer over hashed features (word shapes, pairs of shapes, and bucketed format counts of the whole text).
-The scorer is fitted on a bounded sample of documents (``sample`` rows by hash of doc_id, a documented
-parameter: ``SAMPLE``); labeller statistics and scores cover all documents. It judges by the words' form where
-labellers abstain.
+The scorer is fitted on a bounded sample of distinct texts, drawn by their hash (a documented parameter,
+``SAMPLE``: about so many good ones and half as many suspects are expected; equal texts are one, so no group
+of copies can fill it); labeller statistics and scores cover all documents. It judges by the words' form
+where labellers abstain.
 
-Defined cases: a null or wordless text has only the feature of being empty and is scored by it, never kept;
+Defined cases: a posterior of exactly a half counts as good, a score of exactly ``KEEP_AT`` is kept; a null or wordless text has only the feature of being empty and is scored by it, never kept;
 repeated rows get equal scores; an empty table gives an empty result; other columns are ignored by
 ``score`` and returned untouched by ``filter_documents``.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, table, tidy
-from .quality_rules import measured, posteriors
+from .quality_rules import counted, measured, pattern_posteriors
 from .textstats import NAMES, stats
 
 BITS, SAMPLE, KEEP_AT = 11, 4000, 0.5
@@ -39,10 +40,10 @@ def _slot(token: str, bits: int) -> int:
 
 def shape(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each; other letters are small or capital; symbols stay, doubled ones as two."""
-    s = word[:64].translate(_KIND)
+    s = word.translate(_KIND)
     if not s.isascii():
         s = "".join(("A" if c.isupper() else "a") if c.isalpha() else c if c.isascii() else "?" for c in s)
-    return _RUN.sub(lambda m: m[1] if m[1] in "aA0" else m[1] * 2, s)[:12]
+    return _RUN.sub(lambda m: m[1] if m[1] in "aA0" else m[1] * 2, s)
 
 
 class Features:
@@ -57,9 +58,11 @@ class Features:
     def _word(self, w: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self.hashes) >= self.remember:
-            self.hashes.clear()
-        h = self.hashes[w] = xxh64_intdigest(shape(w))
+        h = xxh64_intdigest(shape(w))
+        if len(w) <= 64:  # longer ones are seldom met again
+            if len(self.hashes) >= self.remember:
+                self.hashes.clear()
+            self.hashes[w] = h
         return h
 
     def _named(self, token: str) -> int:
@@ -107,27 +110,31 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 3
 
 def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
     """Weights of the scorer, labellers' statistics from all documents, weights from a bounded sample."""
-    m = keep(measured(docs))
-    total = m.count()
+    m = keep(measured(docs).select("votes"))
+    patterns = {r.votes: (r["count"], p) for r, p in pattern_posteriors(m)}
+    total, bad = sum(c for c, _ in patterns.values()), sum(c for c, p in patterns.values() if p < 0.5)
     if not total:
         return np.zeros(1 << bits)
-    by = F.broadcast(posteriors(m))  # bounded by the number of vote patterns
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))
-    # as many suspects as others where there are enough: the sample is dealt by posterior class
-    labelled = m.join(by, "votes").select("doc_id", "p_good")
-    bad = labelled.where("p_good < 0.5")
-    n_bad = bad.count()
-    more = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("bad")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(2 * n_bad, 1)))
-    chosen = keep(labelled.where((F.col("p_good") >= 0.5) & draw).union(bad.where(more)).dropDuplicates(["doc_id"]))
+    # as many suspects as others where there are enough: each class is drawn at a rate of its own
+    rates = (min(1.0, sample / total), min(1.0, sample / max(2 * bad, 1)))
+    draw = F.pmod(F.xxhash64(F.col("text"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    good = {v: p for v, (_, p) in patterns.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(bits)
         for b in batches:
-            got = [f(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tolist() for s, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32()))], ["p_good", "slots", "vals"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("p_good", "text")
-    rows = texts.mapInArrow(tidy(run), "p_good double, slots array<int>, vals array<float>").limit(3 * sample).collect()
+            out = ([], [], [], [])
+            texts = b.column(1).to_pylist()
+            for key, text, u, v in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), counted(texts)[1], strict=True):
+                p = good[v]
+                if u < rates[p < 0.5]:
+                    for o, x in zip(out, (key, p, *f(text)), strict=True):
+                        o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)], ["key", "p_good", "slots", "vals"])
+
+    drawn = docs.select(F.xxhash64("text").alias("key"), "text", draw.alias("u")).where(F.col("u") < max(rates))
+    made = drawn.mapInArrow(tidy(run), "key long, p_good double, slots array<int>, vals array<float>")
+    rows = made.groupBy("key").agg(F.first("p_good").alias("p_good"), F.first("slots").alias("slots"), F.first("vals").alias("vals")).orderBy("key").collect()  # distinct texts at the rates above
     if not rows:
         return np.zeros(1 << bits)
     x, y = np.zeros((len(rows), 1 << bits), np.float32), np.zeros(len(rows))

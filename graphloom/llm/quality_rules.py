@@ -59,29 +59,39 @@ RULES = 13
 _SCHEMA = "doc_id long, " + ", ".join(f"{x} long" for x in NAMES) + ", votes string"
 
 
+def counted(texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+    """([text, count of NAMES], votes of each text as a string of 0, 1 and -, a character a rule)."""
+    m = np.array([stats(t) for t in texts], np.int64).reshape(-1, len(NAMES))
+    v = votes({k: m[:, i] for i, k in enumerate(NAMES)})
+    return m, ["".join(r) for r in np.array(["-", "0", "1"])[v + 1]]
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, counts of NAMES, votes): votes as a string of 0, 1 and -, a character a rule."""
+    """(doc_id, counts of NAMES, votes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.array([stats(x.as_py()) for x in b.column(1)], np.int64).reshape(-1, len(NAMES))
-            v = votes({k: m[:, i] for i, k in enumerate(NAMES)})
-            text = np.array(["-", "0", "1"])[v + 1]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[:, i]) for i in range(len(NAMES))), pa.array(["".join(r) for r in text], pa.string())], ["doc_id", *NAMES, "votes"])
+            m, text = counted(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[:, i]) for i in range(len(NAMES))), pa.array(text, pa.string())], ["doc_id", *NAMES, "votes"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), _SCHEMA)
 
 
-def posteriors(measures: DataFrame) -> DataFrame:
-    """(votes, p_good) of every pattern that occurs; at most 3^rules rows, whatever the input."""
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    seen = measures.groupBy("votes").count().collect()
+def pattern_posteriors(measures: DataFrame) -> list:
+    """(row of votes and count, p_good) of every pattern that occurs; at most 3^rules, whatever the input."""
+    seen = measures.groupBy("votes").count().orderBy("votes").collect()
     p = np.array([[{"0": 0, "1": 1, "-": -1}[c] for c in r.votes] for r in seen]).reshape(-1, RULES)
     model = weak.fit(p, np.array([r["count"] for r in seen], float))
     q = model.posterior(p) if len(p) else []
+    return [(r, float(x)) for r, x in zip(seen, q, strict=True)]
+
+
+def posteriors(measures: DataFrame) -> DataFrame:
+    """(votes, p_good) of every pattern that occurs."""
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
     kind = StructType([StructField("votes", StringType()), StructField("p_good", DoubleType())])
-    return measures.sparkSession.createDataFrame([(r.votes, float(x)) for r, x in zip(seen, q, strict=True)], kind)
+    return measures.sparkSession.createDataFrame([(r.votes, p) for r, p in pattern_posteriors(measures)], kind)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -271,6 +271,14 @@ def test_quality_scores_do_not_depend_on_what_was_read_before(spark):
     assert all((a == c).all() and (b == d).all() for i, x in rows for (a, b), (c, d) in [(fresh[i], small(x))])
 
 
+def test_quality_of_long_words_and_repeated_ids(spark):
+    assert quality_classifier.shape("aB" * 50) == "aA" * 50  # whole words, no prefix
+    rng = random.Random(8)
+    rows = [(1, t) for _, t in corpus(rng, 120)] + [(2, "same text " * 40)] * 300 + [(None, None), (3, "")]
+    fits = [quality_classifier.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n)) for r, n in ((rows, 3), (rows[::-1], 5))]
+    assert np.array_equal(fits[0], fits[1])  # neither order nor partitions nor repeated ids change the fit
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_quality_scorer_is_fitted_to_the_end(seed):
     rng = np.random.default_rng(seed)
