@@ -59,10 +59,31 @@ def test_warc_random_access_and_files(spark, put, tmp_path):
     assert len(files) == n
     whole = b"".join(zstandard.ZstdDecompressor().stream_reader(f.read_bytes(), read_across_frames=True).read() for f in files)
     assert whole.count(b"WARC/1.1\r\n") == len(rows)
+    # every record is found in its file by the index inside it, and has the headers that the format asks for
+    met = Counter()
+    for f in files:
+        with open(f, "rb") as file:
+            for e in warc.file_index(file):
+                head, body = warc.read_at(file, e["frame"], e["offset"])
+                assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(head)
+                assert head["WARC-Type"] == "revisit" or e["page_id"] is None or body == by[e["page_id"]]
+                met[e["page_id"]] += 1
+    assert met == Counter(r[0] for r in rows)
+    assert warc.fetch(spark, path, []).count() == warc.fetch(spark, path, [10**9]).count() == 0
+
+
+def test_warc_many_copies_of_one_row(spark, put):
+    rows = [(7, "u", "z" * 300, "p", 0)] * 400 + [(7, "a", "z" * 300, "p", 0)] * 3 + [(9, "u", "z" * 300, "p", 0)]
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.op4_warc(spark, put(pages=(rows, PAGES))).collect())
+    assert got == {(7, "response", None): 1, (7, "revisit", 7): 402, (9, "revisit", 7): 1}
 
 
 def test_warc_empty(spark, put):
-    assert warc.op4_warc(spark, put(pages=([], PAGES))).count() == 0
+    d = put(pages=([], PAGES))
+    assert warc.op4_warc(spark, d).count() == 0
+    path = new_dir(spark)
+    warc.write(table(spark, d, "pages"), path)
+    assert warc.fetch(spark, path, [1]).count() == warc.export(spark, path, "/nowhere") == 0
 
 
 VEC = "vec_id long, embedding array<float>, label int, n int, norm double"
