@@ -4,7 +4,8 @@ Windows that repeat across documents at one length alone are extended to twice t
 length is reached or no candidate survives. Below the target length, a window of the target length is
 stood for by its least hash among its sub-windows of the level's length (a minimiser), so a level hashes all
 positions but passes on a few hundredths of them, and equal windows always choose equal sub-windows: no
-repeat is lost. At the target length, neighbouring candidate windows with the same minimiser travel as one
+repeat is lost. The registered query goes from 13 over 26 to 50 words. Texts that still have a candidate are
+written once, so a further level reads those alone. At the target length, neighbouring candidate windows with the same minimiser travel as one
 segment. A segment whose whole content also stands in an earlier document is settled at once; only
 segments that share a minimiser with a different segment are opened into windows, one representative for
 each distinct segment. So thousands of copies cost one aggregation with map-side combine, and no pair of
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, table, tidy
 
-WINDOW, BASE, LONGEST_SEGMENT = 50, 25, 256
+WINDOW, BASE, LONGEST_SEGMENT = 50, 13, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), 0x94D049BB133111EB, np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -201,23 +202,27 @@ def _remove(window: int):
 def repeated_segments(d: DataFrame, window: int, base: int) -> DataFrame:
     """(doc_id, spans): for each document with a repeat, array of (tag, at, n, ks); ks null: all n windows from at on."""
     before, alive, length = None, None, base
+    src = d
     while True:
-        src = d if alive is None else d.join(alive, "doc_id")
+        if alive is not None:
+            src = keep(src.select("doc_id", "text").join(alive, "doc_id"))
+        if length >= window:
+            break
         rows = keep(src.mapInArrow(tidy(_level(window, length, before)), "doc_id long, h long"))
         shared = keep(rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h"))
         alive = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive"))
         before, length = length, 2 * length
-        if length >= window:
-            break
-    segs = keep(d.join(alive, "doc_id").mapInArrow(tidy(_segments(window, before)), "doc_id long, tag int, at int, m long, s long, hs array<long>"))
+    segs = keep(src.mapInArrow(tidy(_segments(window, before)), "doc_id long, tag int, at int, m long, s long, hs array<long>"))
     firsts = keep(segs.groupBy("m", "s").agg(F.min("doc_id").alias("d0"), F.first("hs").alias("hs")))
     mixed = firsts.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
     opened = keep(firsts.join(mixed, "m").select("m", "s", "d0", F.posexplode("hs").alias("k", "h")))
     # written first, so that the join's sides are plain exchanges and a hot window's rows can be split
     known = keep(opened.groupBy("m", "h").agg(F.min("d0").alias("lo"), F.max("d0").alias("hi")).where("lo < hi").select("m", "h", "lo"))
     hits = opened.join(known, ["m", "h"]).where("d0 > lo").groupBy("m", "s").agg(F.collect_list("k").alias("ks"))
-    found = segs.select("doc_id", "tag", "at", F.size("hs").alias("n"), "m", "s").join(firsts.select("m", "s", "d0"), ["m", "s"]).join(keep(hits), ["m", "s"], "left")
-    found = found.where("doc_id > d0 or ks is not null").select("doc_id", F.struct("tag", "at", "n", F.when(F.expr("doc_id = d0"), F.col("ks")).alias("ks")).alias("span"))
+    # each distinct segment's verdict first; then one join with plain exchanges on both sides, so that a hot segment's rows can be split
+    told = keep(firsts.select("m", "s", "d0").join(hits, ["m", "s"], "left"))
+    found = segs.select("doc_id", "tag", "at", F.size("hs").alias("n"), "m", "s").join(told, ["m", "s"]).where("doc_id > d0 or ks is not null")
+    found = keep(found.select("doc_id", F.struct("tag", "at", "n", F.when(F.expr("doc_id = d0"), F.col("ks")).alias("ks")).alias("span")))
     return found.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
