@@ -42,18 +42,18 @@ def as_of():
 
 NID = "substr(sha256({}), 1, 32)"
 TID = "substr(sha256(unhex(substr(sha256(s), 1, 32)) || encode(p) || unhex(substr(sha256(o), 1, 32))), 1, 32)"
-KG = f"""{G}, k AS (SELECT {TID} AS id, substr(sha256(s), 1, 32) AS subject, p AS predicate, substr(sha256(o), 1, 32) AS object, s, p, o, w, ts FROM g)"""
+KG = f"""{G}, k AS MATERIALIZED (SELECT {TID} AS id, substr(sha256(s), 1, 32) AS subject, p AS predicate, substr(sha256(o), 1, 32) AS object, s, p, o, w, ts FROM g)"""
 
 
 def kg(spark, d):
-    return store.triples(fx.edges(spark, d))
+    """Triples of the stored graph, with their nodes' values (s, o)."""
+    t, none = fx.stored(spark, d), F.lit(None).cast("string")
+    return t.select("id", "subject", "predicate", "object", "s", "o", none.alias("origin_did"), F.col("ts").alias("timestamp"), F.lit(1.0).alias("base_weight"), F.col("w").alias("local_weight"), F.col("ts").alias("last_accessed"), F.lit(0).cast("long").alias("access_count"))
 
 
 def named_kg(spark, d):
     """Triples with values (id, s, p, o, w, ts)."""
-    e = fx.edges(spark, d)
-    a, b = ids.node_id(F.col("s")), ids.node_id(F.col("o"))
-    return e.select(ids.triple_id(a, F.col("p"), b).alias("id"), "s", "p", "o", "w", "ts")
+    return fx.stored(spark, d).select("id", "s", F.col("predicate").alias("p"), "o", "w", "ts")
 
 
 # scans, patterns, provenance
@@ -96,8 +96,8 @@ _pattern("pattern_all", None, None, None)
 
 @query("pattern_by_value", f"WITH {KG} SELECT id, s, p AS predicate, o FROM k WHERE p = 'in_nation' AND o = 'nation:NATION_5'")
 def pattern_by_value(spark, d):
-    t, n = kg(spark, d), store.nodes(fx.edges(spark, d))
-    return store.resolved(store.match_values(t, n, predicate="in_nation", obj="nation:NATION_5"), n).select("id", "s", "predicate", "o")
+    t = kg(spark, d)
+    return store.match_values(t, store.nodes(t), predicate="in_nation", obj="nation:NATION_5").select("id", "s", "predicate", "o")
 
 
 @query("pattern_unknown_value", f"WITH {KG} SELECT id FROM k WHERE o = 'nation:ATLANTIS'")
@@ -131,7 +131,7 @@ def provenance(spark, d):
     return bridge, src
 
 
-SRC = f"{KG}, bridge AS (SELECT 'src-' || s AS source_id, id AS triple_id FROM k WHERE p = 'contains'), src AS (SELECT 'src-order:' || o_orderkey AS source_id, CASE WHEN o_orderstatus = 'F' THEN 'document' ELSE 'conversation' END AS source_type, o_orderpriority AS reference FROM orders)"
+SRC = f"{KG}, bridge AS MATERIALIZED (SELECT 'src-' || s AS source_id, id AS triple_id FROM k WHERE p = 'contains'), src AS (SELECT 'src-order:' || o_orderkey AS source_id, CASE WHEN o_orderstatus = 'F' THEN 'document' ELSE 'conversation' END AS source_type, o_orderpriority AS reference FROM orders)"
 
 
 @query("sources_for_triple", f"WITH {SRC} SELECT k.id, source_type, reference FROM k JOIN bridge ON triple_id = k.id JOIN src USING (source_id) WHERE s = 'order:1'")
@@ -149,7 +149,7 @@ def source_counts(spark, d):
 @query("response_projection", f"WITH {SRC} SELECT k.id, s, p AS predicate, o, count(source_id) AS n_sources FROM k LEFT JOIN bridge ON triple_id = k.id WHERE p IN ('contains', 'in_region') GROUP BY ALL")
 def response_projection(spark, d):
     t, (bridge, src) = kg(spark, d).where(F.col("predicate").isin("contains", "in_region")), provenance(spark, d)
-    r = store.with_sources(store.resolved(t, store.nodes(fx.edges(spark, d))), bridge, src)
+    r = store.with_sources(t, bridge, src)  # the stored triples carry their nodes' values
     return r.select("id", "s", "predicate", "o", F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("n_sources")).withColumn("n_sources", F.greatest("n_sources", F.lit(0)))
 
 
@@ -215,7 +215,7 @@ def verifications(spark, d):
     return store.verifications(f)
 
 
-TENSE = f"{KG}, x AS (SELECT a.subject, a.predicate, a.id AS a_id, b.id AS b_id, 'medium' AS severity FROM k a JOIN k b ON a.subject = b.subject AND a.predicate = b.predicate AND a.id < b.id AND a.object <> b.object WHERE a.p = 'contains' AND a.w > 0 AND b.w > 0)"
+TENSE = f"{KG}, x AS MATERIALIZED (SELECT a.subject, a.predicate, a.id AS a_id, b.id AS b_id, 'medium' AS severity FROM k a JOIN k b ON a.subject = b.subject AND a.predicate = b.predicate AND a.id < b.id AND a.object <> b.object WHERE a.p = 'contains' AND a.w > 0 AND b.w > 0)"
 
 
 @query("tensions", f"WITH {TENSE} SELECT * FROM x")
@@ -809,7 +809,7 @@ def halves(spark, d):
     return n.where("substr(id, 1, 1) < 'a'"), n.where("substr(id, 1, 1) >= '6'")
 
 
-HALF = f"{KG}, mine AS (SELECT * FROM k WHERE substr(id, 1, 1) < 'a'), theirs AS (SELECT * FROM k WHERE substr(id, 1, 1) >= '6'), pol AS (SELECT s AS s, 'local_only' AS p, 'true' AS o FROM (SELECT DISTINCT s FROM k WHERE s LIKE 'order:%1') UNION ALL SELECT DISTINCT s, 'shareable_with', 'did:a' FROM k WHERE s LIKE 'order:%2' UNION ALL SELECT DISTINCT s, 'shareable_with', 'did:b' FROM k WHERE s LIKE 'order:%3' UNION ALL SELECT id, 'retracted_by', 'local' FROM k WHERE id LIKE '%0')"
+HALF = f"{KG}, mine AS MATERIALIZED (SELECT * FROM k WHERE substr(id, 1, 1) < 'a'), theirs AS MATERIALIZED (SELECT * FROM k WHERE substr(id, 1, 1) >= '6'), pol AS (SELECT s AS s, 'local_only' AS p, 'true' AS o FROM (SELECT DISTINCT s FROM k WHERE s LIKE 'order:%1') UNION ALL SELECT DISTINCT s, 'shareable_with', 'did:a' FROM k WHERE s LIKE 'order:%2' UNION ALL SELECT DISTINCT s, 'shareable_with', 'did:b' FROM k WHERE s LIKE 'order:%3' UNION ALL SELECT id, 'retracted_by', 'local' FROM k WHERE id LIKE '%0')"
 
 
 def policies(spark, d):

@@ -1,15 +1,47 @@
-"""Cutting the lineage of iterative plans in the folder that the cluster shares."""
+"""Tables and checkpoints in the folder that the cluster shares."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_ours: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without that setting, one of our own where the session runs in one process (tests); on a cluster an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_graphloom_dir", None)
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = sc._graphloom_dir = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    return found
+
+
+def new_dir(spark: SparkSession, kind: str) -> str:
+    """A fresh folder under the shared one, removed at the end of the process."""
+    path = f"{shared_dir(spark)}/graphloom/{kind}-{uuid.uuid4().hex}"
+    if not _ours:
+        atexit.register(_clean)
+    _ours.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _ours:
+        with contextlib.suppress(Exception):  # the session may be gone by now; the next folder may still go
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """A checkpoint of df in the shared folder. Its files go when nothing refers to it any more, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphloom-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -19,6 +19,27 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def signature(spark: SparkSession, paths: list[str]) -> tuple:
+    """Name, size and time of every file under some paths of any store: equal as long as nothing was written there."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(conf).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def save_vectors(vectors: DataFrame, path: str, dims: int, mode: str = "overwrite") -> None:
+    """Vectors (key, strategy, vec) in a folder a strategy; a vector of another length or a null one is an error, raised by the task that meets it, and nothing is kept."""
+    fits = F.when(F.size("vec") == dims, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit(f"a vector must have {dims} components, not "), F.size("vec").cast("string"))))
+    w = vectors.withColumn("vec", fits).write.mode(mode).partitionBy("strategy")
+    # only the strategies that come are replaced, the others stay
+    (w.option("partitionOverwriteMode", "dynamic") if mode == "overwrite" else w).parquet(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
     """A table of a database; with a numeric key and its bounds, read in parts. The driver jar has to be on the class path."""
     r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
@@ -41,6 +62,8 @@ FUNCTIONS = {
     "unit_score": "(x DOUBLE) RETURNS DOUBLE RETURN greatest(0D, least(1D, (x + 1) / 2))",
     "nearness_score": "(d INT) RETURNS DOUBLE RETURN CASE WHEN d = 0 THEN 1D WHEN d >= 10 THEN 0D ELSE 1 - d / 10D END",
     "support_score": "(n BIGINT) RETURNS DOUBLE RETURN least(n, 10) / 10D",
+    "blend": "(w ARRAY<DOUBLE>, s ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN aggregate(zip_with(w, s, (x, y) -> if(y IS NULL, 0D, x)), 0D, (a, x) -> a + x) > 0 THEN aggregate(zip_with(w, s, (x, y) -> if(y IS NULL, 0D, x * y)), 0D, (a, x) -> a + x) / aggregate(zip_with(w, s, (x, y) -> if(y IS NULL, 0D, x)), 0D, (a, x) -> a + x) ELSE 0D END",
+    "fusion_score": "(w ARRAY<DOUBLE>, similarity DOUBLE, confidence DOUBLE, days BIGINT, d INT, n BIGINT) RETURNS DOUBLE RETURN w[0] * greatest(0D, least(1D, (similarity + 1) / 2)) + w[1] * confidence + w[2] * pow(2D, -greatest(days, 0) / 30D) + w[3] * CASE WHEN d = 0 THEN 1D WHEN d >= 10 THEN 0D ELSE 1 - d / 10D END + w[4] * least(n, 10) / 10D",
 }
 
 

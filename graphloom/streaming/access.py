@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import learning
+from graphloom.sources import scratch
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -30,24 +29,25 @@ def context_refs(events: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def drain(df: DataFrame, out: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all there is and gives what it wrote, as a table. Complete results replace the table at each batch, by batch number."""
+    """Runs a stream over all there is and gives what it wrote, as a table. Each batch writes a folder of its own; of complete results the last batch's counts."""
     spark = df.sparkSession
     checkpoint = checkpoint or f"{out}-state"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        # a folder a batch: a batch that is tried again replaces its own, and no reader meets a half-deleted result
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    every = spark.read.schema(df.schema.add("batch", "long")).parquet(out)
+    if mode == "complete":  # the last one holds everything
+        every = every.where(F.col("batch") == (every.agg(F.max("batch")).first()[0] or 0))
+    return every.drop("batch")
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a stream's output, in the shared checkpoint folder where one is set."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return f"{base}/streams/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for a stream's output under the shared one."""
+    return scratch.new_dir(spark, f"stream-{name}")
 
 
 def stream_insert_rate(spark: SparkSession, folder: str) -> DataFrame:
