@@ -90,3 +90,10 @@ def adjusted(weight: Column, signal: Column, mode: str = "multiplicative", dampi
     times, plus = weight * mapped(FACTORS, signal, 1.0), mapped(DELTAS, signal, 0.0)
     raw = {"multiplicative": times, "additive": weight + plus, "hybrid": damping * times + (1 - damping) * plus}[mode]
     return F.least(F.greatest(raw, F.lit(LOW)), F.lit(HIGH))
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds as days, hours, minutes and seconds ("1d 0h 2m 5s"), from the largest unit that counts."""
+    s = seconds.cast("long")
+    units = [(s >= 86400, F.floor(s / 86400), "d"), (s >= 3600, F.floor(s % 86400 / 3600), "h"), (s >= 60, F.floor(s % 3600 / 60), "m"), (F.lit(True), s % 60, "s")]
+    return F.concat_ws(" ", *[F.when(c, F.concat(n.cast("long").cast("string"), F.lit(u))) for c, n, u in units])

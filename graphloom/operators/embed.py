@@ -141,6 +141,24 @@ def spring(vectors: DataFrame, edges: DataFrame, rate: float = 0.1) -> DataFrame
     return vectors.join(delta, "node", "left").select("node", F.when(F.col("d").isNull(), F.col("vec")).otherwise(F.zip_with("vec", F.transform("d", lambda e: e["x"]), lambda x, y: x + y)).alias("vec"))
 
 
+def first_vectors(nodes: DataFrame, edges: DataFrame, known: DataFrame, dims: int) -> DataFrame:
+    """(node, vec): known vectors, and for nodes without one the mean of their neighbours' or else small numbers made from the node's name."""
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).where("node <> other").distinct()
+    bare = nodes.select("node").distinct().join(known.select("node"), "node", "left_anti")
+    seen = bare.join(ends, "node").join(known.toDF("other", "vec"), "other").select("node", F.posexplode("vec").alias("i", "x"))
+    mean = seen.groupBy("node", "i").agg(F.avg("x").alias("x")).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("mean"))
+    small = F.array(*[F.lit(0.1) * (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(256)) / 255.0 - 0.5) for i in range(dims)])
+    return known.select("node", "vec").unionByName(bare.join(mean, "node", "left").select("node", F.coalesce("mean", small).alias("vec")))
+
+
+def recompute(spark, path: str, vectors: DataFrame, strategy: str, dims: int) -> DataFrame:
+    """Puts a strategy's new vectors (node, vec) in place of its old ones in the store at path; other strategies stay. Gives the store."""
+    from graphloom.sources import stores
+
+    stores.save_vectors(vectors.select("node", F.lit(strategy).alias("strategy"), "vec"), path, dims)
+    return stores.load(spark, path)
+
+
 def long_form(vectors: DataFrame, key: str = "id") -> DataFrame:
     """(id, strategy, vec): the fixture vectors as three strategies, each missing where id mod 3 is its number."""
     names = F.array(*[F.lit(s) for s in ("spring", "node2vec", "spectral")])

@@ -23,6 +23,11 @@ def shareable(t: DataFrame, facts: DataFrame, recipient: str | None) -> DataFram
     return always.unionByName(rest.where("_for is null or _for = 1").select(t.columns))
 
 
+def collected(t: DataFrame, wanted_ids: DataFrame, facts: DataFrame, recipient: str | None) -> DataFrame:
+    """The triples asked for by id, of those that may go to the recipient."""
+    return shareable(t.join(wanted_ids.select("id").distinct(), "id", "left_semi"), facts, recipient)
+
+
 def missing(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """My triples that the peer lacks; exact, by id."""
     return mine.join(theirs.select("id"), "id", "left_anti")

@@ -41,12 +41,19 @@ def utilisation(n_triples: int, n_nodes: int, max_triples: int = 10_000, max_nod
     return max(n_triples / max_triples, n_nodes / max_nodes)
 
 
-def enforce(t: DataFrame, max_triples: int, target: float = 0.8) -> DataFrame:
-    """The lightest triples go until the target share of the bound is left; ties by id. A top-k, not a global sort of all rows in one task."""
+def enforce(t: DataFrame, max_triples: int, target: float = 0.8, max_nodes: int | None = None) -> DataFrame:
+    """The lightest triples go until the target share of the bound is left; ties by id. A top-k, not a global sort of all rows in one task.
+
+    Where triples are within their target but nodes (ends of subject and object) are not, half as many triples go as there are nodes too many.
+    """
     n, goal = t.count(), int(max_triples * target)
-    if n <= goal:
+    over = max(0, n - goal)
+    if not over and max_nodes is not None:
+        nodes = t.select(F.col("subject").alias("n")).union(t.select("object")).distinct().count()
+        over = max(0, nodes - int(max_nodes * target)) // 2
+    if not over:
         return t
-    gone = t.orderBy("local_weight", "id").limit(n - goal).select("id")
+    gone = t.orderBy("local_weight", "id").limit(over).select("id")
     return t.join(gone, "id", "left_anti")
 
 
@@ -91,6 +98,27 @@ def insert_rates(events: DataFrame, seconds: int = 10) -> DataFrame:
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", rate.alias("rate"), strategy(rate).alias("strategy"))
 
 
+#: Seconds between two recomputations of a strategy.
+COOLDOWN = {"node2vec": 60, "spectral": 300}
+
+
+def recomputed(rates: DataFrame, name: str, cooldown: int | None = None) -> DataFrame:
+    """The windows (start, rate) in which a strategy's vectors are computed anew: the rate calls for it and the last time is long enough ago.
+
+    Which window is the next depends on the one before, so each stretch of windows that are close together is folded in order; a
+    pause as long as the cooldown begins a new stretch, and stretches are worked on apart.
+    """
+    wait = COOLDOWN[name] if cooldown is None else cooldown
+    least = {"node2vec": 10, "spectral": 100}[name]
+    at = F.unix_timestamp(F.col("start").cast("timestamp"))
+    due = rates.where((F.col("rate") >= least) & (F.col("rate") < 500)).select("start", at.alias("at"))
+    place = Window.orderBy("at")  # a row a window of time, not an event
+    due = due.withColumn("new", F.coalesce((F.col("at") - F.lag("at").over(place) >= wait).cast("int"), F.lit(1))).withColumn("stretch", F.sum("new").over(place))
+    per = due.groupBy("stretch").agg(F.array_sort(F.collect_list(F.struct("at", "start"))).alias("xs"))
+    ran = F.expr(f"aggregate(xs, named_struct('last', -{wait}L, 'out', filter(xs, x -> false)), (a, x) -> if(x.at - a.last >= {wait}, named_struct('last', x.at, 'out', array_append(a.out, x)), a), a -> a.out)")
+    return per.select(F.explode(ran).alias("x")).select("x.start")
+
+
 def strategy(rate: Column) -> Column:
     """Inserts a second above which a cheaper way is taken."""
     return F.when(rate >= 500, "backpressure").when(rate >= 100, "spectral").when(rate >= 10, "node2vec").otherwise("spring")
@@ -125,6 +153,19 @@ def apply_feedback(weights: DataFrame, log: DataFrame, mode: str = "multiplicati
     return weights.join(steps, "ref").select("ref", F.col("weight").alias("old_weight"), folded.alias("new_weight"), reads.alias("reads"))
 
 
+def feedback_of(log: DataFrame, context: str | None = None, ref=None) -> DataFrame:
+    """Feedback of a context, or about a fact."""
+    for name, value in (("context", context), ("ref", ref)):
+        if value is not None:
+            log = log.where(F.col(name) == value)
+    return log.where("signal is not null")
+
+
+def positive_events(log: DataFrame) -> DataFrame:
+    """(context, refs, ts): what each context's feedback found useful, as one co-access event."""
+    return contexts(log.where(F.col("signal").isin("cited", "relevant")))
+
+
 def blend_step(attributions: DataFrame, rate: float = 0.01) -> DataFrame:
     """Per context, each strategy's reward-weighted share: (context, d_spring, d_node2vec, d_spectral), from (context, signal, spring, node2vec, spectral)."""
     r = scores.mapped(scores.REWARDS, F.col("signal"))
@@ -190,7 +231,11 @@ def decay_patterns(p: DataFrame, factor: float = 0.95) -> DataFrame:
     return p.withColumn("confidence", c).withColumn("status", F.when(live & (F.col("confidence") < 0.1), "archived").when(live & (F.col("confidence") < 0.2), "fading").otherwise(F.col("status")))
 
 
-def search_patterns(p: DataFrame, part: str, limit: int, least: float | None = None) -> DataFrame:
+def search_patterns(p: DataFrame, part: str, limit: int, least: float | None = None, status: str | None = None, kind: str | None = None) -> DataFrame:
+    """Patterns whose description holds part, of a status and type where given; least confidence is asked for after the limit."""
+    for name, value in (("status", status), ("type", kind)):
+        if value is not None:
+            p = p.where(F.col(name) == value)
     rows = p.where(F.contains(F.lower("description"), F.lit(part.lower()))).orderBy(F.desc("confidence"), "id").limit(limit)
     return rows if least is None else rows.where(F.col("confidence") >= least)
 

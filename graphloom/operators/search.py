@@ -94,6 +94,18 @@ def search(edges: DataFrame, vectors: DataFrame, node: str, k: int) -> DataFrame
     return knn(vectors, q, k, "node").select("node", F.round("similarity", 6).alias("similarity"))
 
 
+def search_confident(edges: DataFrame, vectors: DataFrame, conf: DataFrame, node: str, k: int) -> DataFrame:
+    """search with the confidence of each node's first fact (the least id), 0 without one; conf: (id, src, confidence)."""
+    per = conf.groupBy(F.col("src").alias("node")).agg(F.min(F.struct("id", "confidence")).alias("x")).select("node", F.col("x.confidence").alias("confidence"))
+    return search(edges, vectors, node, k).join(per, "node", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
+def explained(conf: DataFrame) -> DataFrame:
+    """Confidence rows with the weight of each component."""
+    weights = F.struct(F.lit(0.5).alias("reliability"), F.lit(0.3).alias("diversity"), F.lit(0.2).alias("centrality"))  # fixed values, those of scores.confidence
+    return conf.withColumn("weights", weights)
+
+
 def cold_search(edges: DataFrame, node: str, k: int) -> DataFrame:
     check_k(k)
     near = graph.bfs(edges, one(edges, node=node), 2)
@@ -182,6 +194,20 @@ def working_set(edges: DataFrame, vectors: DataFrame, facts: DataFrame, node: st
     return best.select("node", (-F.col("x.col2")).alias("confidence"), "times").orderBy(F.desc("confidence"), "node").limit(max_nodes)
 
 
+def working_facts(near: DataFrame, facts: DataFrame, max_facts: int = 500) -> DataFrame:
+    """(id, confidence, times) of facts (id, src, dst, weight) around near (node): those at a near node at their weight, those one hop on at half of it.
+
+    Where a fact is met again, its first confidence stays and its uses count.
+    """
+    ends = facts.select("id", "weight", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+    first = ends.join(near.select("node").distinct(), "node").groupBy("id").agg(F.max("weight").alias("weight"), F.count("*").alias("n"))
+    ring = facts.join(first.select("id"), "id").select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(near.select("node"), "node", "left_anti")
+    second = ends.join(ring, "node").groupBy("id").agg(F.max("weight").alias("weight"), F.count("*").alias("n"))
+    rows = first.select("id", F.lit(1).alias("step"), F.col("weight").alias("confidence"), "n").unionByName(second.select("id", F.lit(2).alias("step"), (0.5 * F.col("weight")).alias("confidence"), "n"))
+    per = rows.groupBy("id").agg(F.min(F.struct("step", "confidence")).alias("x"), F.sum("n").alias("times"))
+    return per.select("id", F.col("x.confidence").alias("confidence"), "times").orderBy(F.desc("confidence"), "id").limit(max_facts)
+
+
 def graph_working_set(facts: DataFrame, node: str, depth: int = 2) -> DataFrame:
     """(node, confidence, times) without vectors: the ends of facts (src, dst, weight) within depth, their heaviest weight."""
     around = graph.neighbours(facts, node, depth)

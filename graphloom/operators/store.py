@@ -98,6 +98,44 @@ def source_counts(t: DataFrame, bridge: DataFrame) -> DataFrame:
     return t.select("id").join(per, "id", "left").select("id", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
 
+def by_id(t: DataFrame, value: str) -> DataFrame:
+    """The node or triple of an id; the id is a constant, so a sorted store skips row groups."""
+    return t.where(F.col("id") == value)
+
+
+def resolve(n: DataFrame, identifier: str) -> str:
+    """The id of a node that is named by its id or else by its value; an error if there is none."""
+    row = n.where(F.col("id") == identifier).select("id").first() or n.where(F.col("value") == identifier).select("id").first()
+    if row is None:
+        raise KeyError(f"no such node: {identifier}")
+    return row.id
+
+
+def ingest(facts: DataFrame, source_id: str, source_type: str, reference: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(triples, bridge, source) of one request: distinct triples of (s, p, o, w, ts) and one source that spans all of them."""
+    t = triples(facts)
+    source = facts.sparkSession.sql("SELECT 1").select(F.lit(source_id).alias("source_id"), F.lit(source_type).alias("source_type"), F.lit(reference).cast("string").alias("reference"))
+    return t, t.select(F.lit(source_id).alias("source_id"), F.col("id").alias("triple_id")), source
+
+
+def trust(pairs: DataFrame) -> DataFrame:
+    """(s, p, o) facts of pairs (truster, trusted)."""
+    return pairs.select(F.col("truster").alias("s"), F.lit("trusts").alias("p"), F.col("trusted").alias("o"))
+
+
+def shares(facts: DataFrame) -> DataFrame:
+    """(triple_id, recipient, retracted) of every share among (s, p, o) facts."""
+    gone = facts.where("p = 'retracted_by'").select(F.col("s").alias("triple_id")).distinct().withColumn("_gone", F.lit(True))
+    rows = facts.where("p = 'shareable_with'").select(F.col("s").alias("triple_id"), F.col("o").alias("recipient"))
+    return rows.join(gone, "triple_id", "left").select("triple_id", "recipient", F.coalesce("_gone", F.lit(False)).alias("retracted"))
+
+
+def predicate_counts(t: DataFrame) -> DataFrame:
+    """(subject, counts): a map of how many triples of each predicate a subject has."""
+    per = t.groupBy("subject", "predicate").agg(F.count("*").alias("n"))
+    return per.groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "n")))).alias("counts"))
+
+
 def search_nodes(n: DataFrame, part: str, limit: int) -> DataFrame:
     """Nodes whose value holds part, whatever the case, first in order of value."""
     return n.where(F.contains(F.lower("value"), F.lit(part.lower()))).orderBy("value").limit(limit)
@@ -172,6 +210,25 @@ def resolve_tensions(t: DataFrame, pairs: DataFrame, action: str, damp: float =
     return t.join(gone, "id", "left").withColumn("local_weight", F.when(F.col("_lost").isNotNull(), F.col("local_weight") * damp).otherwise(F.col("local_weight"))).drop("_lost")
 
 
+#: Predicates of what is recorded about a settled tension.
+SETTLED, ACTION, REASONING = "tension_resolved_with", "tension_resolution_action", "tension_resolution_reasoning"
+
+
+def resolution_facts(pairs: DataFrame, action: str, reasoning: str) -> DataFrame:
+    """(s, p, o) facts about settled pairs (a_id, b_id): which with which, and, about that triple, what was done and why."""
+    a, b = ids.node_id(F.col("a_id")), ids.node_id(F.col("b_id"))
+    rows = pairs.select("a_id", "b_id", ids.triple_id(a, F.lit(SETTLED), b).alias("about"))
+    fact = lambda s, p, o: rows.select(F.col(s).alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    return fact("a_id", SETTLED, F.col("b_id")).unionByName(fact("about", ACTION, F.lit(action))).unionByName(fact("about", REASONING, F.lit(reasoning)))
+
+
+def tension_classes(t: DataFrame) -> DataFrame:
+    """(subject, predicate, members): keys with several live objects, a row a key and no pairs."""
+    live = t.where((F.col("local_weight") > 0) & ~F.col("predicate").isin(*MULTI_VALUED))
+    per = live.groupBy("subject", "predicate").agg(F.count("*").alias("members"), F.min("object").alias("lo"), F.max("object").alias("hi"))
+    return per.where("lo <> hi").select("subject", "predicate", "members")
+
+
 # hot and cold tiers
 
 

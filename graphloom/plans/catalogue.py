@@ -976,3 +976,6 @@ WHOLE = {
 }
 for _name, _run in WHOLE.items():
     query(_name)(_run)
+
+
+from graphloom.plans import records  # noqa: E402, F401  registers its queries
