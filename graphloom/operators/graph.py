@@ -44,13 +44,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, redi
     nodes = settle(vertices(edges))
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    still = nodes.select("node", F.lit(0.0).alias("flow"))  # nodes without in-edges stay: one shuffle less than a join with all nodes
     for i in range(iterations):
-        flow = rank.join(links, rank["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        sent = rank.join(links, rank["node"] == links["src"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("flow"))
         base = (1.0 - damping) / max(n, 1)
         if redistribute:
             lost = rank.join(out.select(F.col("src").alias("node")), "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
             base += damping * lost / max(n, 1)
-        rank = nodes.join(flow, "node", "left").select("node", (F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+        rank = sent.unionByName(still).groupBy("node").agg((F.lit(base) + damping * F.sum("flow")).alias("rank"))
         if i % every == every - 1 and i < iterations - 1:
             rank = settle(rank)
     return rank
@@ -188,38 +189,70 @@ def _least_reaching(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def _trimmed(live: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(edges, nodes, gone): nodes without an edge in or without one out are components of their own; they go until none is left."""
+    gone = None
+    while True:
+        core = settle(live.select(F.col("src").alias("node")).intersect(live.select(F.col("dst").alias("node"))))
+        off = settle(nodes.join(core, "node", "left_anti"))
+        if off.isEmpty():
+            return live, nodes, gone
+        gone = off if gone is None else settle(gone.unionByName(off))
+        nodes = core
+        live = settle(live.join(core.toDF("src"), "src", "left_semi").join(core.toDF("dst"), "dst", "left_semi"))
+
+
 def scc(edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, component): strongly connected components, named by their least node.
 
-    Each round spreads least labels forward; within each label's region (nodes it reaches), the nodes that reach its
-    root back are a component. They leave, and the rest goes on. The driver only sees counts.
+    Each round first trims what can't be on a cycle, then spreads least labels forward; within each label's region (nodes it
+    reaches), the nodes that reach its root back are a component. They leave, and the rest goes on. The driver only sees counts.
     """
     live = settle(edges.select("src", "dst").where("src <> dst").distinct())
-    nodes = settle(vertices(edges))
-    done = None
+    nodes, done = settle(vertices(edges)), None
+    more = lambda part: part if done is None else settle(done.unionByName(part))
     for _ in range(most):
+        live, nodes, gone = _trimmed(live, nodes)
+        if gone is not None:
+            done = more(gone.select("node", F.col("node").alias("component")))
         if nodes.isEmpty():
             break
         label = settle(_least_reaching(live, nodes, most))
         a, b = label.toDF("src", "la"), label.toDF("dst", "lb")
         inside = settle(live.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst", F.col("la").alias("label")))
-        found = label.where("node = label")
-        front = found
+        found = front = label.where("node = label")
         while True:
             front = front.join(inside, (front["node"] == inside["dst"])).select(F.col("src").alias("node"), inside["label"].alias("label")).distinct()
             front = settle(front.join(found, "node", "left_anti"))
             if front.isEmpty():
                 break
             found = settle(found.unionByName(front))
-        part = found.select("node", F.col("label").alias("component"))
-        done = part if done is None else settle(done.unionByName(part))
+        done = more(found.select("node", F.col("label").alias("component")))
         nodes = settle(nodes.join(found, "node", "left_anti"))
-        keep = nodes
-        live = settle(live.join(keep.toDF("src"), "src", "left_semi").join(keep.toDF("dst"), "dst", "left_semi"))
+        live = settle(live.join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi"))
+    else:
+        raise RuntimeError("components did not settle")
     return done if done is not None else nodes.withColumn("component", F.col("node"))
 
 
-def wcc(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, component): weakly connected components, named by their least node."""
-    steps = settle(both_ways(edges).toDF("src", "dst"))
-    return _least_reaching(steps, vertices(edges), most).withColumnRenamed("label", "component")
+def wcc(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(node, component): weakly connected components, named by their least node.
+
+    Large-star and small-star rounds in turn: every node's larger neighbours, then its smaller ones, are hung under its least
+    neighbour. The rounds grow with the logarithm of the diameter; a hub is one row of an aggregate and a join key that can be split.
+    """
+    old, sign = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()), None
+    for _ in range(most):
+        both = old.union(old.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = settle(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old = settle(hung.union(low.select("a", F.col("m").alias("b"))).distinct())
+        now = tuple(old.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        if now == sign:
+            break
+        sign = now
+    else:
+        raise RuntimeError("components did not settle")
+    return vertices(edges).join(old.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

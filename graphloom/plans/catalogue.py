@@ -319,10 +319,10 @@ def pagerank(spark, d):
     return graph.pagerank(fx.trade(spark, d)).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("pagerank_facts", f"WITH {G}, t AS (SELECT s AS src, o AS dst FROM g), {_pr_sql(6)} SELECT node, round(r, 9) AS rank FROM r6")
+@query("pagerank_facts", f"WITH {G}, t AS (SELECT s AS src, o AS dst FROM g), {_pr_sql(20)} SELECT node, round(r, 9) AS rank FROM r20")
 def pagerank_facts(spark, d):
     e = fx.edges(spark, d).select(F.col("s").alias("src"), F.col("o").alias("dst"))
-    return graph.pagerank(e, iterations=6).select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(e).select("node", F.round("rank", 9).alias("rank"))
 
 
 REACH = f"{T}, nn AS (SELECT src AS v FROM t UNION SELECT dst FROM t), reach AS (SELECT v AS a, v AS b FROM nn UNION SELECT reach.a, t.dst FROM reach JOIN t ON reach.b = t.src)"
@@ -957,13 +957,13 @@ WHOLE = {
     "spectral_facts": lambda spark, d: embed.spectral(links(spark, d), 8),
     "node2vec_walks_facts": lambda spark, d: embed.walks(links(spark, d), 4, 8, 1.0, 2.0).select("walk", F.array_join("path", ">").alias("path")),
     "node2vec_facts": lambda spark, d: embed.node2vec(links(spark, d), 16),
-    "confidence_facts": lambda spark, d: fact_confidence(spark, d),
+    "confidence_facts": lambda spark, d: fact_confidence(spark, d).select("id", "n_sources", *[F.round(c, 6).alias(c) for c in ("reliability", "diversity", "centrality", "confidence")]),
     "confidence_facts_context": lambda spark, d: fact_confidence(spark, d, ORDER),
     "combined_facts": lambda spark, d: search.combined(links(spark, d), fx.part_vectors(spark, d), PART, OTHER_PART, 2, 10),
     "combined_facts_presets": lambda spark, d: search.combined(links(spark, d), _three(fx.part_vectors(spark, d)), PART, OTHER_PART, 2, 10, scores.BLENDS["exploratory"]),
     "search_facts": lambda spark, d: search.search(links(spark, d), fx.part_vectors(spark, d), PART, 8),
     "search_facts_cold": lambda spark, d: search.cold_search(links(spark, d), BUYER, 12),
-    "tier1_facts": _first_facts,
+    "tier1_facts": lambda spark, d: _first_facts(spark, d).select("node", F.round("similarity", 6).alias("similarity")),
     "tier2_facts": _second_facts,
     "tier3_facts": lambda spark, d: search.tier_three(_second_facts(spark, d), fact_confidence(spark, d)),
     "tiered_search_facts": lambda spark, d: search.tiered(links(spark, d), fx.part_vectors(spark, d), lambda c: fact_confidence(spark, d, c), PART, 8, search.Budget(10_000))[0],
@@ -974,8 +974,29 @@ WHOLE = {
     "context_triples_facts_cold": lambda spark, d: _context_facts(spark, d, fx.part_vectors(spark, d).where(F.col("node") != PART)),
     "context_nodes_facts": lambda spark, d: search.context_nodes(_context_facts(spark, d, fx.part_vectors(spark, d)), PART, 1000),
 }
+TF = f"{G}, t AS MATERIALIZED (SELECT s AS src, o AS dst FROM g)"
+PV = "nv AS (SELECT 'part:' || vec_id AS node, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
+FF = f"{TF}, f AS (SELECT s || '>' || p || '>' || o AS id, s AS src, o AS dst, w AS weight, CASE WHEN p = 'contains' THEN 1 ELSE 0 END AS n_sources FROM g)"
+AROUND = "SELECT {} FROM t WHERE src IN (SELECT node FROM b) OR dst IN (SELECT node FROM b)"
+LIKE = "greatest(0, least(1, (coalesce(list_cosine_similarity(nv.vec, q.vec), 0) + 1) / 2))"
+#: SQL of those that it can express in bearable time over all facts.
+WHOLE_SQL = {
+    "bfs_distances_facts": f"WITH RECURSIVE {TF}, {_bfs_sql(PART, 3)} SELECT node, dist FROM b",
+    "neighbors_facts_k1": f"WITH RECURSIVE {TF}, {_bfs_sql(PART, 0)} {AROUND.format('src, dst')}",
+    "neighbors_facts_k2": f"WITH RECURSIVE {TF}, {_bfs_sql(PART, 1)} {AROUND.format('src, dst')}",
+    "subgraph_nodes_facts": f"WITH RECURSIVE {TF}, {_bfs_sql(PART, 1)}, e AS ({AROUND.format('*')}) SELECT (SELECT count(DISTINCT (src, dst)) FROM e) AS n_edges, (SELECT count(DISTINCT v) FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e)) AS n_nodes",
+    "degrees_facts": ORACLES["degrees"].replace(T, TF),
+    "shortest_path_facts": ORACLES["shortest_path"].replace(T, TF).replace(START, ORDER),
+    "path_counts_facts": ORACLES["path_counts"].replace(T, TF).replace(START, ORDER),
+    "confidence_facts": f"WITH {FF}, {CONF} SELECT id, round(reliability, 6) AS reliability, round(diversity, 6) AS diversity, round(centrality, 6) AS centrality, round(confidence, 6) AS confidence, n_sources FROM cc",
+    "search_facts": f"WITH {PV} {NN.replace(START, PART)} ORDER BY similarity DESC, nv.node LIMIT 8",
+    "search_facts_cold": f"WITH RECURSIVE {TF}, {_bfs_sql(BUYER, 2)} SELECT node, 0.0::DOUBLE AS similarity FROM b ORDER BY dist, node LIMIT 12",
+    "tier1_facts": f"WITH {PV}, t1 AS (SELECT nv.node, list_cosine_similarity(nv.vec, q.vec) AS c FROM nv CROSS JOIN (SELECT vec FROM nv WHERE node = '{PART}') q ORDER BY c DESC, nv.node LIMIT 6) SELECT node, round(c, 6) AS similarity FROM t1",
+    "combined_facts": f"WITH RECURSIVE {TF}, {PV}, {_bfs_sql(PART, 2)}, q AS (SELECT vec FROM nv WHERE node = '{OTHER_PART}') SELECT b.node, dist AS distance, round({LIKE}, 6) AS likeness, round({LIKE} / (1 + dist), 6) AS score FROM b CROSS JOIN q LEFT JOIN nv ON nv.node = b.node ORDER BY score DESC, b.node LIMIT 10",
+    "reachability_flow": f"WITH RECURSIVE {REACH.replace(T, T + ', tt AS (SELECT src, dst FROM flow)').replace('FROM t ', 'FROM tt ').replace('SELECT dst FROM t)', 'SELECT dst FROM tt)').replace('t.dst', 'tt.dst').replace('JOIN t ON reach.b = t.src', 'JOIN tt ON reach.b = tt.src')} SELECT a, b FROM reach",
+}
 for _name, _run in WHOLE.items():
-    query(_name)(_run)
+    query(_name, WHOLE_SQL.get(_name))(_run)
 
 
 from graphloom.plans import records  # noqa: E402, F401  registers its queries

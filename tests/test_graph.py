@@ -39,6 +39,12 @@ def test_components(spark):
     assert values(graph.scc(edges(spark, G1))) == {"A": "A", "B": "A", "C": "A", "D": "D"}
 
 
+def test_components_of_a_long_chain_and_cycles(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)]
+    assert set(values(graph.wcc(edges(spark, chain))).values()) == {"n000"}
+    assert values(graph.scc(edges(spark, [*chain[:6], ("n002", "n001"), ("n005", "n004"), ("x", "x")]))) == {"n000": "n000", "n001": "n001", "n002": "n001", "n003": "n003", "n004": "n004", "n005": "n004", "n006": "n006", "x": "x"}
+
+
 def test_shortest_paths(spark):
     e = edges(spark, [("A", "B"), ("B", "C")])
     assert graph.shortest_paths(e, "A", "C").first().path == ["A", "B", "C"]
