@@ -47,6 +47,26 @@ def test_toxicity_learns_and_tolerates_gaps(spark, put, hard_docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
 
 
+def test_strings_of_sentences():
+    own, at = toxicity.units("Go die now, you fool i d i o t indeed! Nothing here. " + "abcde " * 30)
+    assert own[-1] == "i d i o t" and "you" in own and {"godie", "idiot"} <= set(own)  # short neighbours as one string, inside their sentence
+    ends = dict(zip(own, at.tolist()))
+    assert ends["nothing"] == ends["here."] and len(set(at.tolist())) == 2 + 2 + 1  # thirty words are two sentences, a spelled run is one of its own
+    assert toxicity.units(None)[0] == [] and len(toxicity.units("x" * 100_000)[0]) == 1
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no fixture tables")
+def test_toxicity_on_held_out_labels(spark):
+    """Documents of the held-out third: some are labelled toxic without a word to show for it, so recall can't be whole."""
+    found = toxicity.op1_toxicity(spark, SF).where("held_out").join(table(spark, SF, "labels").where("toxic is not null"), "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    right = n.get((1, 1), 0)
+    assert right >= 0.9 * (right + n.get((1, 0), 0)) and right >= 0.95 * (right + n.get((0, 1), 0))
+
+
 def test_toxicity_without_labels(spark, put, hard_docs):
     d = put(documents=(hard_docs, DOC), labels=([], LABELS))
     got = toxicity.op1_toxicity(spark, d).collect()
@@ -78,7 +98,7 @@ def test_kernel_is_brute_force():
     full[rows] = k
     for i, w in enumerate(words):
         for j, n in enumerate(names):
-            assert full[i, j] == pytest.approx(slow(w, n) / toxicity._SCALE[len(w)] / toxicity._SCALE[len(n)], abs=1e-5)
+            assert full[i, j] == pytest.approx(slow(w, n) / toxicity._scale(len(w)) / toxicity._scale(len(n)), abs=1e-5)
 
 
 def slow_base(t):
