@@ -133,7 +133,7 @@ class Encoder:
                         if decide(last[start], t) if ok is None else ok:
                             break
                 else:
-                    raise ValueError(f"no token ends {word[:stop]!r}")
+                    raise ValueError(f"no token ends {word[:stop]!r}")  # the file has a token for every byte
                 last.append(t)
             final = last.pop()
             ids, at = [vocab[final]], n - (len(final) - len(end))

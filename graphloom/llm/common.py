@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.scratch import shared_dir
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark.sparkContext, "_graphloom_dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext._graphloom_dir = found
-    return found
-
-
 def new_dir(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
     if not _scratch:
@@ -44,10 +37,8 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 def _clean() -> None:
     for spark, path in _scratch:
-        try:
+        with contextlib.suppress(Exception):  # the session may be gone by now; the next folder may still go
             drop_dir(spark, path)
-        except Exception:  # the session may be gone by now
-            return
 
 
 class Kept:
