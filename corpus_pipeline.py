@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run`` writes each
 result as Parquet into the shared folder and reads it again for the next one.
+
+Defined cases, every stage: an empty table gives an empty one; columns beyond those of documents, whatever their names, go
+through all stages but the last, which returns its own; rows are judged by themselves or their group, so their order and
+partitions don't matter (of rows alike in everything that is compared, any one is kept). Null, empty, tied and repeated
+rows are stated at each stage.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from graphloom.llm.common import components, keep, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised quality scorer keeps."""
+    """Documents that the weakly supervised quality scorer keeps. Null, empty and wordless texts go; a score of exactly a half is kept; equal texts are judged equally, so repeated rows all stay or all go."""
     return quality_classifier.filter_documents(docs, quality_classifier.fit(docs))
 
 
@@ -34,17 +39,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind. A null text stays null; where spans tie or overlap, the earlier and then the longer one names the stretch; repeated rows are redacted alike."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the sources' target weights, repeated where the mix takes them more than once."""
+    """Documents drawn to the sources' target weights, repeated where the mix takes them more than once. A null source is one of its own; texts without a word cost nothing and stay once; rows tied in the hash order go by size."""
     return mixing.materialise(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every document of the mix."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document of the mix. A null or empty text has no token; repeated rows are encoded alike."""
     e = bpe.encode(docs)
     return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
