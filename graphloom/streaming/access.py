@@ -68,7 +68,7 @@ def maintain(counts: DataFrame, facts: DataFrame, links: DataFrame, as_of, hours
 
 def maintained(events: DataFrame, facts: DataFrame, links: DataFrame, out: str, hours: int = 24, least: int = 3, width: str = "1 day") -> DataFrame:
     """Runs ``maintain`` after each micro-batch over the windows seen so far; time is the newest window's start. Gives the links made, as a table."""
-    spark = events.sparkSession
+    spark, ran = events.sparkSession, []
 
     def run(batch: DataFrame, number: int) -> None:
         ctx = batch.select(F.concat_ws("@", F.col("user_id").cast("string"), F.col("start").cast("string")).alias("context"), "refs", F.col("start").alias("ts"))
@@ -77,10 +77,11 @@ def maintained(events: DataFrame, facts: DataFrame, links: DataFrame, out: str,
             made, live = maintain(ctx, facts, links, F.lit(newest), hours, least)
             made.write.mode("overwrite").parquet(f"{out}/links/batch={number}")
             live.write.mode("overwrite").parquet(f"{out}/live/batch={number}")
+            ran.append(number)
 
     q = context_refs(events, width).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(run).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/links").drop("batch").distinct()
+    return spark.read.parquet(f"{out}/links").drop("batch").distinct() if ran else links.select("src", "dst").limit(0)
 
 
 def sprung(inserted: DataFrame, vectors: DataFrame, out: str, dims: int, rate: float = 0.1) -> DataFrame:
