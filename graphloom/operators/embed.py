@@ -84,22 +84,42 @@ def _subspace(nodes: DataFrame, adj: DataFrame, k: int, dims: int, rounds: int,
     return x.select("node", F.array(*[F.col("x")[i + 1] if i < k else F.lit(0.0) for i in range(dims)]).alias("vec"))
 
 
+def _ranked(edges: DataFrame, shares: int = 256) -> DataFrame:
+    """(a, rank, b, back, n): each node's neighbours numbered from 1, with the rank of a among b's neighbours and their number n.
+
+    Ranks are prefix sums in two levels: neighbours are numbered within (node, share of their hash), shares are offset by the
+    counts before them, so a hub's neighbours are sorted by up to ``shares`` tasks and no window holds all of them.
+    """
+    pairs = graph.both_ways(edges).withColumn("share", F.pmod(F.xxhash64("b"), F.lit(shares)))
+    counts = pairs.groupBy("a", "share").agg(F.count("*").alias("c"))
+    before = counts.select("a", "share", F.coalesce(F.sum("c").over(Window.partitionBy("a").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    within = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a", "share").orderBy("b")))
+    ranks = settle(within.join(before, ["a", "share"]).select("a", "b", (F.col("off") + F.col("r")).alias("rank")))
+    sizes = counts.groupBy(F.col("a").alias("b")).agg(F.sum("c").alias("n"))
+    return ranks.join(ranks.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("rank").alias("back")), ["a", "b"]).join(sizes, "b").select("a", "rank", "b", "back", "n")
+
+
 def walks(edges: DataFrame, per_node: int = 4, length: int = 10, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
-    """(walk, path): seeded walks over undirected neighbours; 1/p is the weight of going back, 1/q that of any other neighbour. A join a step."""
-    near = settle(graph.both_ways(edges).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("near")))
-    start = graph.vertices(edges).select("node", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("i"))
-    w = start.select(F.concat("node", F.lit("#"), F.col("i").cast("string")).alias("walk"), F.array("node").alias("path"), F.lit(None).cast("string").alias("prev"), F.col("node").alias("cur"))
+    """(walk, path): seeded walks over undirected neighbours; 1/p is the weight of going back, 1/q that of any other neighbour.
+
+    A step draws a neighbour's rank and joins on (node, rank): no row holds a hub's neighbours, and the walks that stand on a
+    hub spread over its ranks. A node without neighbours but itself gives walks of itself alone.
+    """
+    steps = settle(_ranked(edges))
+    sizes = steps.groupBy(F.col("b").alias("node")).agg(F.first("n").alias("n"))
+    start = graph.vertices(edges).join(sizes, "node", "left").select("node", "n", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("i"))
+    w = start.select(F.concat("node", F.lit("#"), F.col("i").cast("string")).alias("walk"), F.array("node").alias("path"), F.col("node").alias("cur"), "n", F.lit(None).cast("long").alias("back"))
+    step_of = steps.select(F.col("a").alias("cur"), F.col("rank").alias("pick"), "b", F.col("back").alias("back_b"), F.col("n").alias("n_b"))
     for step in range(1, length):
         u = F.pmod(F.xxhash64("walk", F.lit(step), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
         v = F.pmod(F.xxhash64("walk", F.lit(-step), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        w = w.join(near, w["cur"] == near["a"], "left")
-        others = F.filter("near", lambda x: F.col("prev").isNull() | (x != F.col("prev")))
-        back = F.when(F.array_contains("near", F.col("prev")), F.lit(1 / p)).otherwise(0.0)
-        go_back = F.coalesce(u * (back + F.size(others) / q) < back, F.lit(False))
-        pick = F.element_at(others, (F.floor(v * F.size(others)) + 1).cast("int"))
-        nxt = F.when(F.col("near").isNull(), F.lit(None)).when(go_back | (F.size(others) == 0), F.col("prev")).otherwise(pick)
-        w = w.select("walk", "path", "cur", nxt.alias("nxt"))
-        w = w.select("walk", F.when(F.col("nxt").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("nxt"))).alias("path"), F.when(F.col("nxt").isNull(), F.lit(None).cast("string")).otherwise(F.col("cur")).alias("prev"), F.coalesce("nxt", "cur").alias("cur"))
+        others = F.col("n") - F.when(F.col("back").isNull(), 0).otherwise(1)
+        drawn = F.floor(v * others) + 1
+        returns = F.col("back").isNotNull() & ((others == 0) | (u * (F.lit(1 / p) + others / q) < F.lit(1 / p)))
+        pick = F.when(returns, F.col("back")).otherwise(drawn + F.when(drawn >= F.col("back"), 1).otherwise(0))
+        w = w.withColumn("pick", pick.cast("long")).join(step_of, ["cur", "pick"], "left")
+        moved = F.col("b").isNotNull()
+        w = w.select("walk", F.when(moved, F.array_append("path", F.col("b"))).otherwise(F.col("path")).alias("path"), F.coalesce("b", "cur").alias("cur"), F.coalesce("n_b", "n").alias("n"), F.coalesce("back_b", "back").alias("back"))
         if step % 4 == 3:
             w = settle(w)
     return w.select("walk", "path")

@@ -101,6 +101,18 @@ def test_walks_follow_edges_and_repeat(spark):
     assert all(frozenset(p) in near for w in a for p in itertools.pairwise(w)) and all(len(w) == 6 for w in a)
 
 
+def test_walks_take_what_the_weights_say(spark):
+    star = edges(spark, [("hub", f"n{i}") for i in range(40)] + [("n0", "n1"), ("lone", "lone")])
+    home = [r.path for r in embed.walks(star, 20, 3, 1.0, 1e-6).collect() if r.path[0] == "n0"]
+    assert {r.path[0] for r in embed.walks(star, 1, 4).collect()} == {"hub", "lone", *(f"n{i}" for i in range(40))}
+    ends = {r.a for r in graph.both_ways(star).groupBy("a").count().where("count = 1").collect()}
+    assert all(len(w) == 3 and w[2] != w[0] for w in home if w[1] not in ends)
+    far = [r.path for r in embed.walks(star, 20, 3, 1e-6, 1.0).collect() if r.path[0] != "lone"]
+    assert all(w[2] == w[0] for w in far)
+    assert {r["path"][1] for r in embed.walks(star, 400, 2).where("path[0] = 'hub'").select("path").collect()} == {f"n{i}" for i in range(40)}
+    assert [r.path for r in embed.walks(star, 1, 5).where("path[0] = 'lone'").collect()] == [["lone"]]
+
+
 def test_approximate_search_recalls(spark):
     import numpy as np
 
