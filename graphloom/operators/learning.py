@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scores
+from graphloom.operators import store
 
 
 def check_factor(factor: float, least: float = 0.0) -> None:
@@ -42,7 +43,7 @@ def utilisation(n_triples: int, n_nodes: int, max_triples: int = 10_000, max_nod
 
 
 def enforce(t: DataFrame, max_triples: int, target: float = 0.8, max_nodes: int | None = None) -> DataFrame:
-    """The lightest triples go until the target share of the bound is left; ties by id. A top-k, not a global sort of all rows in one task.
+    """The lightest triples go until the target share of the bound is left; ties by id. The heaviest that goes is looked for, and every row is held against it.
 
     Where triples are within their target but nodes (ends of subject and object) are not, half as many triples go as there are nodes too many.
     """
@@ -53,8 +54,7 @@ def enforce(t: DataFrame, max_triples: int, target: float = 0.8, max_nodes: int
         over = max(0, nodes - int(max_nodes * target)) // 2
     if not over:
         return t
-    gone = t.orderBy("local_weight", "id").limit(over).select("id")
-    return t.join(gone, "id", "left_anti")
+    return store.marked(t, ["local_weight", "id"], n, over).where("not _first").drop("_first")
 
 
 # co-access
