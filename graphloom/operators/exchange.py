@@ -34,8 +34,10 @@ def missing(mine: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def headers(t: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Triples with the hashes asked for."""
-    return t.withColumn("hash", ids.triple_hash(F.col("id"))).join(wanted.select("hash").distinct(), "hash", "left_semi")
+    """Triples with the hashes asked for. Hashes (lower-case hex, anything else matches nothing) travel as bytes, and a triple's is made again where it ends."""
+    asked = wanted.select(F.unhex("hash").alias("_key"), "hash").where(F.lower(F.hex("_key")) == F.col("hash")).select("_key")
+    found = t.withColumn("_key", F.unhex(ids.triple_hash(F.col("id")))).join(asked, "_key", "left_semi").drop("_key")
+    return found.select(ids.triple_hash(F.col("id")).alias("hash"), *t.columns)
 
 
 def wanted(offered: DataFrame, mine: DataFrame, facts: DataFrame) -> DataFrame:
