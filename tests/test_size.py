@@ -69,3 +69,35 @@ def test_headers_by_bytes(spark):
     asked = [r.hash for r in have if r.s == "a"] * 2 + [r.hash.upper() for r in have if r.s == "b"] + ["no hash"]
     got = exchange.headers(t, spark.createDataFrame([(x,) for x in asked], "hash string"))
     assert [r.s for r in got.collect()] == ["a"] and "_key" in plan(got)
+
+
+def plain_ranks(edges, iterations):
+    nodes = {x for e in edges for x in e}
+    out = {x: sum(a == x for a, _ in edges) for x in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(iterations):
+        new = dict.fromkeys(nodes, 0.15 / len(nodes))
+        for a, b in edges:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    return rank
+
+
+@pytest.mark.parametrize("iterations", [1, 4, 9])
+def test_pagerank_works_off_layers(spark, iterations):
+    from graphloom.operators import graph
+
+    # a chain with a shortcut and a double edge into a cycle that leaves for another chain, a loop, and a separate pair
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("a", "d"), ("d", "e"), ("e", "f"), ("f", "e"), ("f", "g"), ("g", "h"), ("l", "l"), ("x", "y")]
+    got = graph.pagerank(spark.createDataFrame(edges, "src string, dst string"), iterations=iterations)
+    assert {r.node: r.rank for r in got.collect()} == pytest.approx(plain_ranks(edges, iterations))
+
+
+def test_pagerank_of_layers_does_not_iterate(spark):
+    from graphloom.operators import graph
+
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("layers", "layers")
+    graph.pagerank(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), iterations=60).collect()
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(seen.getJobIdsForGroup("layers")) < 150
