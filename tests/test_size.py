@@ -101,3 +101,28 @@ def test_pagerank_of_layers_does_not_iterate(spark):
     graph.pagerank(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), iterations=60).collect()
     spark.sparkContext.setJobGroup("rest", "rest")
     assert len(seen.getJobIdsForGroup("layers")) < 150
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_steps_do_not_move_all_edges(spark, monkeypatch, few):
+    from graphloom.operators import graph
+    from graphloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "FEW_ROWS", few)
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "d"), ("x", "y"), ("a", "b")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    near = graph.neighbours(e, "b", 2)
+    assert sorted(map(tuple, near.collect())) == sorted(p for p in pairs if {"a", "b", "c"} & set(p))
+    assert ("Exchange hashpartitioning(src" in near._jdf.queryExecution().executedPlan().toString()) == (not few)
+    assert {r.node: r.dist for r in graph.bfs(e, spark.sql("SELECT 'a' AS node"), 3, directed=True).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
+    assert {r.node: r.path for r in graph.shortest_paths(e, "a").collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "c"], "d": ["a", "c", "d"]}
+    assert graph.shortest_paths(e, "nobody").count() == 0
+
+
+def test_confidence_takes_counts_that_facts_carry(spark):
+    from graphloom.operators import search
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    f = e.selectExpr("src || dst AS id", "src", "dst", "2L AS n_sources")
+    for context in (None, "a"):
+        assert search.confidence(e, f, None, context).orderBy("id").collect() == search.confidence(e, f.drop("n_sources"), f, context).orderBy("id").collect()
