@@ -1,8 +1,10 @@
 """Loops over large graphs: what a round moves, and that results stay those of the plain way."""
 
+import random
+
 import pytest
 
-from graphloom.operators import embed
+from graphloom.operators import embed, graph
 
 
 def frame(spark, pairs):
@@ -38,3 +40,24 @@ def test_a_step_of_walks_moves_no_neighbours(spark, large):
     text = plan(embed.walks(frame(spark, STAR), 2, 5))
     assert text.count("Bucketed: true") >= 4 and text.count("Exchange hashpartitioning(element_at(path") == 4
     assert text.split("Exchange hashpartitioning(element_at(path")[1].count("Exchange") == 0
+
+
+def test_components_of_many_shapes(spark):
+    rnd = random.Random(4)
+    pairs = [(f"v{rnd.randrange(80):02}", f"v{rnd.randrange(80):02}") for _ in range(60)] + [(f"z{i + 1:02}", f"z{i:02}") for i in range(40)] + [("y", "y")]
+    pairs += [(f"p{i * 7 % 40:02}", f"p{(i + 1) * 7 % 40:02}") for i in range(39)]
+    at = {x: x for e in pairs for x in e}
+    for _ in at:
+        for a, b in pairs:
+            at[a] = at[b] = min(at[a], at[b])
+    assert {r.node: r.component for r in graph.wcc(frame(spark, pairs)).collect()} == at
+
+
+def test_edges_of_components_are_not_written(spark, monkeypatch):
+    sizes = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: (lambda x: (sizes.append(x.count()), x)[1])(keep(df)))
+    # 400 edges between 20 nodes and a hub in a few rounds: rows of nodes only
+    pairs = [(f"n{i % 20:02}", "a") for i in range(400)]
+    assert {r.component for r in graph.wcc(frame(spark, pairs)).collect()} == {"a"}
+    assert sizes and max(sizes) <= 21
