@@ -61,3 +61,15 @@ def test_edges_of_components_are_not_written(spark, monkeypatch):
     pairs = [(f"n{i % 20:02}", "a") for i in range(400)]
     assert {r.component for r in graph.wcc(frame(spark, pairs)).collect()} == {"a"}
     assert sizes and max(sizes) <= 21
+
+
+def test_a_round_of_spectral_moves_no_entries(spark, large, monkeypatch):
+    plans = []
+    keep = embed.settle
+    monkeypatch.setattr(embed, "settle", lambda df: (plans.append(plan(df)), keep(df))[1])
+    ring = [(f"n{i:02}", f"n{(i + 1) % 12:02}") for i in range(12)] + [("n00", "n05")]
+    got = {r.node: r.vec for r in embed.spectral(frame(spark, ring), 2, dense=0, rounds=3).collect()}
+    assert len(got) == 12
+    rounds = [p for p in plans if p.count("Bucketed: true") == 3]
+    # the start is dealt once, and each round's sums are dealt by node
+    assert len(rounds) == 1 and rounds[0].count("Exchange") == 4
