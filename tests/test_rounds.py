@@ -73,3 +73,13 @@ def test_a_round_of_spectral_moves_no_entries(spark, large, monkeypatch):
     rounds = [p for p in plans if p.count("Bucketed: true") == 3]
     # the start is dealt once, and each round's sums are dealt by node
     assert len(rounds) == 1 and rounds[0].count("Exchange") == 4
+
+
+def test_many_walks_are_learnt_by_several_tasks(spark, monkeypatch):
+    import pyspark.ml.feature as ml
+
+    asked, keep = [], ml.Word2Vec.fit
+    monkeypatch.setattr(ml.Word2Vec, "fit", lambda self, df: (asked.append(self.getNumPartitions()), keep(self, df))[1])
+    monkeypatch.setattr(embed, "ALONE", 50)
+    got = embed.node2vec(frame(spark, STAR), 4, per_node=3, length=4)
+    assert {r.node for r in got.collect()} == {x for e in STAR for x in e} and asked == [3]
