@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,28 @@ def test_confidence_takes_counts_that_facts_carry(spark):
     f = e.selectExpr("src || dst AS id", "src", "dst", "2L AS n_sources")
     for context in (None, "a"):
         assert search.confidence(e, f, None, context).orderBy("id").collect() == search.confidence(e, f.drop("n_sources"), f, context).orderBy("id").collect()
+
+
+@fixtures
+def test_neighbours_filter_the_lines_before_grouping(spark):
+    from graphloom.operators import graph
+
+    text = re.sub(r"#\d+L?", "", plan(graph.neighbours(catalogue.fact_rows(spark, SF), "part:1", 2).select("src", "dst", "weight")))
+    assert text.count("LeftSemi, (concat(order:, cast(l_orderkey") == 1 and text.count("LeftSemi, (concat(part:, cast(l_partkey") == 2  # contains from both ends, supplies from one
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_neighbours_keep_each_edge_once(spark, monkeypatch, few):
+    from graphloom.operators import graph, search
+    from graphloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "FEW_ROWS", few)
+    rnd = random.Random(9)
+    rows = [(rnd.choice("abcdefghij"), rnd.choice(["a", "b", "c", "d", "h", "i", "j", None]), rnd.choice([0.25, 0.5, 1.0])) for _ in range(40)] + [("a", "a", 0.5), (None, "a", 1.0)]
+    e = spark.createDataFrame(rows, "src string, dst string, weight double")
+    near = {"a"} | {x for s, o, _ in rows if "a" in (s, o) for x in (s, o)} - {None}
+    met = [r for r in rows if near & {r[0], r[1]}]
+    assert sorted(map(str, map(tuple, graph.neighbours(e, "a", 2).collect()))) == sorted(map(str, met))
+    ends = [(x, w) for s, o, w in met for x in (s, o)]
+    want = {x: (max(w for y, w in ends if y == x), sum(y == x for y, _ in ends)) for x, _ in ends}
+    assert {r.node: (r.confidence, r.times) for r in search.graph_working_set(e, "a", 2).collect()} == want
