@@ -152,3 +152,13 @@ def test_neighbours_keep_each_edge_once(spark, monkeypatch, few):
     ends = [(x, w) for s, o, w in met for x in (s, o)]
     want = {x: (max(w for y, w in ends if y == x), sum(y == x for y, _ in ends)) for x, _ in ends}
     assert {r.node: (r.confidence, r.times) for r in search.graph_working_set(e, "a", 2).collect()} == want
+
+
+@fixtures
+def test_lines_are_dealt_by_size(spark, monkeypatch):
+    shares = lambda: {r.n for r in fixture.stored(spark, SF).where("predicate = 'contains'").select(F.spark_partition_id().alias("n")).distinct().collect()}
+    want = sorted(map(tuple, fixture.edges(spark, SF).where("p = 'contains'").select("s", "o", "w", "ts").collect()))
+    size = os.path.getsize(f"{SF}/lineitem.parquet")
+    monkeypatch.setattr(fixture, "PIECE", size // 20)
+    assert len(shares()) >= 20
+    assert sorted(map(tuple, fixture.edges(spark, SF).where("p = 'contains'").select("s", "o", "w", "ts").collect())) == want
