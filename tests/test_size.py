@@ -162,3 +162,30 @@ def test_lines_are_dealt_by_size(spark, monkeypatch):
     monkeypatch.setattr(fixture, "PIECE", size // 20)
     assert len(shares()) >= 20
     assert sorted(map(tuple, fixture.edges(spark, SF).where("p = 'contains'").select("s", "o", "w", "ts").collect())) == want
+
+
+def test_tier_three_asks_for_its_nodes_only(spark):
+    from graphloom.operators import search
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("y", "x")], "src string, dst string")
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.5, 0.9]), ("c", [0.1, 1.0]), ("d", [0.0, 1.0]), ("y", [-1.0, 0.0])], "node string, vec array<double>")
+    f = e.selectExpr("src || dst AS id", "src", "dst", "2L AS n_sources")
+    asked, clock = [], iter([0] * 99)
+
+    def conf_of(context, near):
+        asked.extend(r.node for r in near.collect())
+        return search.confidence(e, f.join(near.selectExpr("node AS src"), "src", "left_semi"), None, context)
+
+    out, tier = search.tiered(e, v, conf_of, "a", 3, search.Budget(1000, results=3, clock=clock.__next__))
+    whole, _ = search.tiered(e, v, lambda context, near: search.confidence(e, f, None, context), "a", 3, search.Budget(1000, results=3, clock=iter([0] * 99).__next__))
+    assert tier == 3 and set(asked) == {"a", "b", "c", "d", "y", "x"} and len(asked) == 6
+    assert out.orderBy("node").collect() == whole.orderBy("node").collect() and out.count() == 3
+
+
+@fixtures
+def test_facts_of_few_nodes_filter_the_lines_before_grouping(spark):
+    near = spark.range(30).select(F.format_string("order:%d", "id").alias("node"))
+    got = catalogue.fact_rows(spark, SF, near)
+    assert "LeftSemi, (concat(order:, cast(l_orderkey" in re.sub(r"#\d+L?", "", plan(got))
+    few = [r.node for r in near.collect()]
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in catalogue.fact_rows(spark, SF).where(F.col("src").isin(few)).collect())
