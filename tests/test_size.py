@@ -189,3 +189,49 @@ def test_facts_of_few_nodes_filter_the_lines_before_grouping(spark):
     assert "LeftSemi, (concat(order:, cast(l_orderkey" in re.sub(r"#\d+L?", "", plan(got))
     few = [r.node for r in near.collect()]
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in catalogue.fact_rows(spark, SF).where(F.col("src").isin(few)).collect())
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_edges_between_nodes_are_sieved_first(spark, monkeypatch, few):
+    from graphloom.operators import graph
+    from graphloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "FEW_ROWS", few)
+    rnd = random.Random(11)
+    rows = [tuple(rnd.choice(["n%03d" % rnd.randint(0, 299), None] if rnd.random() < 0.02 else ["n%03d" % rnd.randint(0, 299)]) for _ in range(2)) for _ in range(3000)]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    nodes = spark.range(0, 300, 3).select(F.format_string("n%03d", "id").alias("node"))
+    keep = {r.node for r in nodes.collect()}
+    want = sorted(r for r in rows if set(r) <= keep)
+    assert sorted(map(lambda r: (r.src, r.dst), graph._between(e, nodes).collect())) == want
+    assert want == sorted((r.src, r.dst) for r in graph._sieved(e, nodes, "src", "dst").collect())  # 100 names in 2 ** 27 bits
+    assert {r.node: r.component for r in graph.scc(e.na.drop()).collect()} == strong([r for r in rows if None not in r])
+
+
+def strong(edges):
+    out = {x: set() for e in edges for x in e}
+    for a, b in edges:
+        out[a].add(b)
+
+    def far(x):
+        seen, todo = {x}, [x]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    reach = {x: far(x) for x in out}
+    return {x: min(y for y in reach[x] if x in reach[y]) for x in out}
+
+
+@fixtures
+def test_trimming_moves_no_line_that_leaves(spark, monkeypatch):
+    from graphloom.operators import graph
+    from graphloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "FEW_ROWS", 0)
+    nodes = spark.range(5).select(F.format_string("customer:%d", "id").alias("node"))
+    text = re.sub(r"#\d+L?", "", plan(graph._between(catalogue.links(spark, SF), nodes)))
+    below = text[text.index("RepartitionByExpression [l_orderkey]") :]
+    assert "LeftSemi" in below[: below.index("Relation")] and "_map" in below[: below.index("Relation")]
